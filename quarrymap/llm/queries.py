@@ -11,6 +11,7 @@ from .lines import quality_rules
 from .packing import pack
 from .quality import quality
 from .simhash import near_duplicates
+from .suffixes import repeat_report
 from .toxicity import toxicity
 
 
@@ -18,6 +19,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -35,7 +40,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op6_quality_rules, op7_toxicity, op8_quality_classifier, op9_packing)}
+    return {f.__name__: f for f in (op1_simhash, op3_suffix_dedup, op6_quality_rules, op7_toxicity, op8_quality_classifier, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -43,6 +43,8 @@ class ToxicityParams:
     min_docs: int = 5
     #: The averaged vector is scaled by this, as toxic words are few in a text.
     scale: float = 60.0
+    #: Added to a text's number of words in the mean, so that a few words can't say much.
+    padding: int = 10
     threshold: float = 0.7
     seed: int = 7
 
@@ -86,7 +88,7 @@ class ToxicityModel:
         look = cache.__getitem__
         for i, text in enumerate(texts):
             words = tokens(text)
-            mean = sum(map(look, words)) / len(words) if words else 0.0
+            mean = sum(map(look, words)) / (len(words) + self.params.padding)
             out[i] = 1 / (1 + math.exp(-max(-60.0, min(60.0, self.bias + mean))))
         return out
 
@@ -119,7 +121,7 @@ def train(bags: list[tuple[list[bytes], list[int]]], y: np.ndarray, prior: float
     known: dict[bytes, list[int]] = {}
     rows, cols, weights = [], [], []
     for words, counts in bags:
-        total = max(1, sum(counts))
+        total = sum(counts) + p.padding
         r: dict[int, float] = {}
         for w, c in zip(words, counts):
             b = known.get(w)
