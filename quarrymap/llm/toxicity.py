@@ -41,6 +41,8 @@ class ToxicityParams:
     l2: float = 1e-4
     #: Buckets in fewer training documents than this stay zero: rare words say nothing.
     min_docs: int = 5
+    #: Half way, all but this many buckets of the largest odds are set to zero for good: most words say nothing.
+    live_buckets: int = 1500
     #: The averaged vector is scaled by this, as toxic words are few in a text.
     scale: float = 60.0
     #: Added to a text's number of words in the mean, so that a few words can't say much.
@@ -147,8 +149,15 @@ def train(bags: list[tuple[list[bytes], list[int]]], y: np.ndarray, prior: float
     cost = np.where(y == 1, prior / share, (1 - prior) / (1 - share)).astype(np.float32)
     state = [(np.zeros_like(a), np.zeros_like(a)) for a in (emb, soft, bias)]
     step = 0
-    for _ in range(p.epochs):
+    for epoch in range(p.epochs):
         order = rng.permutation(n)
+        if epoch == p.epochs // 2 and len(live) > p.live_buckets:
+            size = np.abs(emb @ (soft[:, 1] - soft[:, 0]))
+            dead = size < np.partition(size, -p.live_buckets)[-p.live_buckets]
+            emb[dead] = 0
+            for i in range(n):
+                keep = ~dead[cols[i]]
+                cols[i], weights[i] = cols[i][keep], weights[i][keep]
         for at in range(0, n, p.batch_docs):
             own = order[at : at + p.batch_docs]
             used, where = np.unique(np.concatenate([cols[i] for i in own]), return_inverse=True)
