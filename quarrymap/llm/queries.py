@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import render
 from .common import table
 from .lines import quality_rules
 from .packing import pack
@@ -15,6 +16,7 @@ from .simhash import near_duplicates
 from .suffixes import repeat_report
 from .topk import top_k
 from .toxicity import toxicity
+from .warc import audit
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +31,13 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive of all pages against a replica in which the last byte of some pages has rotted."""
+    pages = table(spark, sf_dir, "pages")
+    rotten = (F.char_length("html") > 0) & (F.sha2(F.col("page_id").cast("string"), 256) < "03")
+    return audit(pages, pages.withColumn("html", F.when(rotten, F.concat(F.expr("left(html, char_length(html) - 1)"), F.lit("\x01"))).otherwise(F.col("html"))))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -45,8 +54,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_suffix_dedup, op4_top_k, op6_quality_rules, op7_toxicity, op8_quality_classifier, op9_packing)}
+    return {f.__name__: f for f in (op1_simhash, op3_suffix_dedup, op4_top_k, op5_warc_fixity, op6_quality_rules, op7_toxicity, op8_quality_classifier, op9_packing, op10_chat_format)}
 
 
 _TOP_K = """
@@ -66,5 +79,43 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+_WARC = """
+WITH records AS (
+  SELECT page_id, concat('WARC/1.0', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', coalesce(CAST(page_id AS VARCHAR), 'none'),
+    '>', chr(13), chr(10), 'WARC-Target-URI: ', coalesce(url, ''), chr(13), chr(10), 'WARC-Date: 1970-01-01T00:00:00Z', chr(13), chr(10), 'WARC-Block-Digest: sha256:', sha256(coalesce(html, '')),
+    chr(13), chr(10), 'Content-Type: text/html; charset=utf-8', chr(13), chr(10), 'Content-Length: ', CAST(strlen(coalesce(html, '')) AS VARCHAR), chr(13), chr(10), chr(13), chr(10), coalesce(html, ''), chr(13), chr(10), chr(13), chr(10)) AS record,
+    html
+  FROM pages
+), digests AS (
+  SELECT page_id, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS sha256, coalesce(length(html) > 0 AND sha256(CAST(page_id AS VARCHAR)) < '03', false) AS rotten FROM records
+), ordered AS (
+  SELECT *, (row_number() OVER (ORDER BY page_id NULLS FIRST, sha256) - 1) AS ordinal FROM digests
+), filed AS (
+  SELECT *, CAST(ordinal // 1024 AS BIGINT) AS file FROM ordered
+)
+SELECT page_id, file, CAST(sum(length) OVER (PARTITION BY file ORDER BY ordinal) - length AS BIGINT) AS offset, length, sha256,
+  NOT rotten AS intact
+FROM filed
+"""
+
+_CHAT = """
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+), prefixes AS (
+  SELECT conv_id, list({'turn': turn, 'role': role, 'text': text}) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS prefix,
+    count(*) OVER (PARTITION BY conv_id) AS total
+  FROM turns
+), whole AS (
+  SELECT prefix, total, min(conv_id) AS conv_id FROM prefixes WHERE len(prefix) = total GROUP BY prefix, total
+), kept AS (
+  SELECT conv_id, total FROM whole WHERE prefix NOT IN (SELECT prefix FROM prefixes WHERE len(prefix) < total)
+)
+SELECT conv_id, CAST(turn // 256 AS BIGINT) AS segment, count(*) AS n_turns, total AS total_turns,
+  string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS text
+FROM turns JOIN kept USING (conv_id)
+GROUP BY conv_id, turn // 256, total
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_top_k": _TOP_K}
+    return {"op4_top_k": _TOP_K, "op5_warc_fixity": _WARC, "op10_chat_format": _CHAT}

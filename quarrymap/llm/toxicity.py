@@ -36,17 +36,17 @@ class ToxicityParams:
     min_n: int = 3
     max_n: int = 5
     epochs: int = 8
-    batch_docs: int = 32
+    batch_docs: int = 64
     learning_rate: float = 0.03
-    l2: float = 1e-4
-    #: Buckets in fewer training documents than this stay zero: rare words say nothing.
-    min_docs: int = 5
+    l2: float = 3e-5
+    #: Buckets in a smaller share of the training documents than this stay zero: rare words say nothing.
+    min_share: float = 0.01
     #: Half way, all but this many buckets of the largest odds are set to zero for good: most words say nothing.
-    live_buckets: int = 1500
+    live_buckets: int = 600
     #: The averaged vector is scaled by this, as toxic words are few in a text.
     scale: float = 60.0
     #: Added to a text's number of words in the mean, so that a few words can't say much.
-    padding: int = 10
+    padding: int = 5
     threshold: float = 0.7
     seed: int = 7
 
@@ -136,7 +136,7 @@ def train(bags: list[tuple[list[bytes], list[int]]], y: np.ndarray, prior: float
         weights.append(np.fromiter(r.values(), np.float32, len(r)))
         rows.append(len(r))
     seen = np.bincount(np.concatenate(cols), minlength=p.buckets)
-    live = np.flatnonzero(seen >= p.min_docs)
+    live = np.flatnonzero(seen >= max(2, p.min_share * n))
     new = np.full(p.buckets, -1, np.int32)
     new[live] = np.arange(len(live), dtype=np.int32)
     for i in range(n):
@@ -205,8 +205,10 @@ def fit(documents: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityPar
         }
 
     got = map_columns(texts, bags, ["doc_id", "y"], "words array<string>, counts array<int>").toArrow().to_pydict()
-    first = {d: i for i, d in reversed(list(enumerate(got["doc_id"])))}  # of repeated rows one
-    order = [first[d] for d in sorted(first)]
+    by_id = sorted(range(len(got["doc_id"])), key=lambda i: got["doc_id"][i])
+    # of repeated rows and of copies one
+    first = {(tuple(got["words"][i]), tuple(got["counts"][i])): i for i in reversed(by_id)}
+    order = sorted(first.values(), key=lambda i: got["doc_id"][i])
     made = [([w.encode() for w in got["words"][i]], got["counts"][i]) for i in order]
     total = sum(count.values())
     return train(made, np.array([got["y"][i] for i in order], int), count.get(1, 0) / total if total else 0.0, p)
