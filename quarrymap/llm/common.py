@@ -85,7 +85,7 @@ def map_columns(
             made = compute(batch)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + list(made.values()), names=keep + list(made))
 
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep)
+    types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     return df.mapInArrow(run, f"{types}, {schema}")
 
 

@@ -188,7 +188,7 @@ def fit(rows: DataFrame, p: QualityParams = QualityParams()) -> QualityModel:
 
 
 def _scored(documents: DataFrame, labels: DataFrame, keep: list[str], p: QualityParams) -> DataFrame:
-    staged = stage(with_statistics(documents, keep), "quality-statistics")
+    staged = stage(with_statistics(documents, [*keep, "doc_id"] if "doc_id" not in keep else keep), "quality-statistics")
     rows = staged.select("doc_id", "stats").join(labelled(labels, "quality"), "doc_id").select("stats", "y")
     model = fit(rows, p)
     width = len(STATISTICS)
@@ -211,5 +211,5 @@ def quality(documents: DataFrame, labels: DataFrame, p: QualityParams = QualityP
 
 def keep_good(documents: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
     """The documents, columns as they were, without those predicted bad."""
-    columns = documents.columns
-    return _scored(documents, labels, columns, p).where(F.col("score") >= p.threshold).select(*columns)
+    rows = documents.select("doc_id", "text", F.struct(*[documents[c] for c in documents.columns]).alias("kept_row"))
+    return _scored(rows, labels, ["kept_row"], p).where(F.col("score") >= p.threshold).select("kept_row.*")

@@ -11,6 +11,7 @@ from .chat import render
 from .common import table
 from .lines import quality_rules
 from .packing import pack
+from .pieces import report
 from .quality import quality
 from .simhash import near_duplicates
 from .suffixes import repeat_report
@@ -23,6 +24,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(table(spark, sf_dir, "documents"))
 
@@ -58,8 +63,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render(table(spark, sf_dir, "conversations"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir).drop("ids")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_suffix_dedup, op4_top_k, op5_warc_fixity, op6_quality_rules, op7_toxicity, op8_quality_classifier, op9_packing, op10_chat_format)}
+    return {f.__name__: f for f in (op1_simhash, op2_sentencepiece, op3_suffix_dedup, op4_top_k, op5_warc_fixity, op6_quality_rules, op7_toxicity, op8_quality_classifier, op9_packing, op10_chat_format, pipeline)}
 
 
 _TOP_K = """

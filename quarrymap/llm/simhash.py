@@ -276,8 +276,7 @@ def keep_one(documents: DataFrame, radius: int = 3, shingle: int = 3) -> DataFra
 
     Of repeated rows of that id one stays; a row without an id stays.
     """
-    columns = documents.columns
     groups = near_duplicates(documents, radius, shingle)
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    ided = documents.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return ided.unionByName(documents.where("doc_id IS NULL")).select(*columns)
+    ided = documents.join(kept, documents["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    return ided.unionByName(documents.where("doc_id IS NULL"))

@@ -241,5 +241,5 @@ def toxicity(documents: DataFrame, labels: DataFrame, p: ToxicityParams = Toxici
 def keep_clean(documents: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> DataFrame:
     """The documents, columns as they were, without those predicted toxic."""
     model = fit(documents, labels, p)
-    columns = documents.columns
-    return score(documents, model, columns).where(F.col("score") < p.threshold).select(*columns)
+    rows = documents.select("text", F.struct(*[documents[c] for c in documents.columns]).alias("kept_row"))
+    return score(rows, model, ["kept_row"]).where(F.col("score") < p.threshold).select("kept_row.*")
