@@ -75,6 +75,22 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]
 
 
+def nullable(kind: pa.DataType) -> pa.DataType:
+    """The Arrow type with nulls allowed at every level, as Spark takes a schema string."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, nullable(f.type)) for f in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(nullable(kind.value_type))
+    if pa.types.is_map(kind):
+        return pa.map_(kind.key_type, nullable(kind.item_type))
+    return kind
+
+
+def _loose(column: pa.Array) -> pa.Array:
+    kind = nullable(column.type)
+    return column if kind == column.type else column.cast(kind)
+
+
 def map_columns(
     df: DataFrame, compute: Callable[[pa.RecordBatch], dict[str, pa.Array]], keep: list[str], schema: str
 ) -> DataFrame:
@@ -83,7 +99,7 @@ def map_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = compute(batch)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + list(made.values()), names=keep + list(made))
+            yield pa.RecordBatch.from_arrays([_loose(batch.column(c)) for c in keep] + list(made.values()), names=keep + list(made))
 
     types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     return df.mapInArrow(run, f"{types}, {schema}")

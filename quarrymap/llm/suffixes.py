@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, stage, tidy
+from .common import byte_texts, nullable, stage, tidy
 
 LENGTH, GRAM = 50, 20
 #: Bytes that are hashed, and bytes of text that are packed, at a time.
@@ -577,7 +577,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
             "n_bytes": pa.array([len(t) for t in data], pa.int64()),
             "spans": pa.array([[{"start": a, "end": b} for a, b in s.tolist()] for s in spans], _SPANS),
             "kept": pa.array([cut_text(t, s) for t, s in zip(data, spans)], pa.binary()),
-            "rest": rows.column("rest"),
+            "rest": rows.column("rest").cast(nullable(rows.schema.field("rest").type)),
         })
 
     rows = ided.join(wanted, F.col("doc_id") == F.col("w_id"), "left").join(copies, F.col("doc_id") == F.col("c_id"), "left").select(batch, "doc_id", "text", "anchors", "copied", "rest")
@@ -608,7 +608,7 @@ def keep_first(documents: DataFrame) -> DataFrame:
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = [(x or b"").decode("utf-8", "ignore") for x in b.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(text, pa.string()), b.column("rest")], names=["doc_id", "text", "rest"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(text, pa.string()), b.column("rest").cast(nullable(b.column("rest").type))], names=["doc_id", "text", "rest"])
 
     out = made.select("doc_id", "kept", "rest").mapInArrow(decoded, f"doc_id bigint, text string, rest {made.schema['rest'].dataType.simpleString()}")
     each = {"doc_id": F.col("doc_id"), "text": F.col("text")}
