@@ -128,5 +128,39 @@ GROUP BY conv_id, turn // 256, total
 """
 
 
+_LINES = r"""
+WITH rows AS (
+  SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS text FROM documents
+), split AS (
+  SELECT r, doc_id, host, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM rows
+), grams AS (
+  SELECT r, i, array_to_string(words[i:i + 4], ' ') AS gram FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM split WHERE len(words) >= 5)
+), repeated AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM grams) WHERE n > 1
+), covered AS (
+  SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM repeated) GROUP BY r
+), own_lines AS (
+  SELECT r, host, line, sum(n) AS words FROM (
+    SELECT r, host, array_to_string(w, ' ') AS line, len(w) AS n FROM (SELECT r, host, regexp_extract_all(lower(unnest(lines)), '[^\x20\x09-\x0D]+') AS w FROM split)
+  ) GROUP BY r, host, line
+), hosts AS (
+  SELECT host, count(*) AS documents FROM rows GROUP BY host
+), frequent AS (
+  SELECT l.host, l.line FROM own_lines l JOIN hosts h ON l.host IS NOT DISTINCT FROM h.host GROUP BY l.host, l.line, h.documents HAVING count(*) >= 20 AND count(*) > 0.1 * h.documents
+), removed AS (
+  SELECT l.r, CAST(sum(l.words) AS BIGINT) AS removed_words FROM own_lines l JOIN frequent f ON l.line = f.line AND l.host IS NOT DISTINCT FROM f.host GROUP BY l.r
+), counted AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(removed_words, 0) AS removed_words
+  FROM split LEFT JOIN covered USING (r) LEFT JOIN removed USING (r)
+), judged AS (
+  SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM counted
+)
+SELECT *, NOT base_failed AND n_words - removed_words >= 10 AND n_words - removed_words >= 0.3 * n_words AS kept FROM judged
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_top_k": _TOP_K, "op5_warc_fixity": _WARC, "op10_chat_format": _CHAT}
+    return {"op6_quality_rules": _LINES, "op4_top_k": _TOP_K, "op5_warc_fixity": _WARC, "op10_chat_format": _CHAT}
