@@ -11,8 +11,8 @@ A host's lines above the limit are at most (lines a document) / ``max_share``:
 a small table, joined by Spark's own choice of join.
 
 Defined results: a null or empty text has no words and fails the base rules; a
-null host is a host of its own; repeated rows count as one document if their ids
-agree and as several else, and are returned each.
+null host is a host of its own; every row counts as a document, repeated ones
+too, and is returned.
 """
 
 from __future__ import annotations
@@ -93,8 +93,8 @@ def quality_rules(documents: DataFrame, host: str = "source", rules: LineRules =
     staged = stage(map_columns(texts, run, ["doc_id", "host"], schema).withColumn("row", F.monotonically_increasing_id()), "line-rules", compression="zstd")
 
     hosts = staged.groupBy("host").agg(F.count("*").alias("documents"))
-    each = staged.select("row", "doc_id", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "doc_id", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-    # repeated rows of one id hold their lines once: counted by id where two rows can clash
+    each = staged.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
+    # a row has each of its lines once, so rows are documents
     frequent = each.groupBy("host", "line").agg(F.count("*").alias("held")).where(F.col("held") >= rules.min_documents)
     frequent = frequent.join(hosts, frequent["host"].eqNullSafe(hosts["host"])).where(F.col("held") > rules.max_share * F.col("documents")).select(frequent["host"].alias("f_host"), F.col("line").alias("f_line"))
     removed = each.join(frequent, each["host"].eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line"))).groupBy("row").agg(F.sum("words").alias("removed"))

@@ -128,6 +128,25 @@ GROUP BY conv_id, turn // 256, total
 """
 
 
+_REPEATS = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents
+), w AS (
+  SELECT r, doc_id, p, substring(h, 2 * p + 1, 100) AS s FROM (SELECT r, doc_id, h, unnest(range(0, n - 49)) AS p FROM d WHERE n >= 50)
+), m AS (
+  SELECT s, min(doc_id) AS first_id FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT DISTINCT r, unnest(range(p, p + 50)) AS b FROM w JOIN m USING (s) WHERE first_id < doc_id
+), cut AS (
+  SELECT r, count(*) AS n_removed, count(*) FILTER (start) AS n_spans FROM (SELECT r, b, coalesce(b - lag(b) OVER (PARTITION BY r ORDER BY b) > 1, true) AS start FROM gone) GROUP BY r
+), kept AS (
+  SELECT d.r, string_agg(substring(h, 2 * x.b + 1, 2), '' ORDER BY x.b) AS hx FROM d JOIN cut USING (r) JOIN (SELECT r, unnest(range(0, n)) AS b FROM d) x USING (r) WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.r = x.r AND g.b = x.b) GROUP BY d.r
+)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  CASE WHEN n_removed IS NULL THEN sha256(text) ELSE sha256(unhex(coalesce(hx, ''))) END AS kept_sha256
+FROM d LEFT JOIN cut USING (r) LEFT JOIN kept USING (r)
+"""
+
 _LINES = r"""
 WITH rows AS (
   SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS text FROM documents
@@ -163,4 +182,4 @@ SELECT *, NOT base_failed AND n_words - removed_words >= 10 AND n_words - remove
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": _LINES, "op4_top_k": _TOP_K, "op5_warc_fixity": _WARC, "op10_chat_format": _CHAT}
+    return {"op3_suffix_dedup": _REPEATS, "op6_quality_rules": _LINES, "op4_top_k": _TOP_K, "op5_warc_fixity": _WARC, "op10_chat_format": _CHAT}
