@@ -29,7 +29,7 @@ def budgeted(texts: DataFrame, total_chars: int | None = None, each_chars: int |
         limit = F.lit(each_chars)
         return texts.withColumn("content", truncated(F.col("content"), limit, cut_mark(limit)))
     share = texts.agg(F.floor(F.lit(total_chars) / F.greatest(F.lit(1), F.count("*"))).cast("int").alias("share_chars"))
-    rows = texts.join(F.broadcast(share))  # one row
+    rows = texts.withColumn("share_chars", share.scalar())
     return rows.withColumn("content", truncated(F.col("content"), F.col("share_chars"), cut_mark(F.col("share_chars")))).drop("share_chars")
 
 

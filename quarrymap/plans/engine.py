@@ -11,6 +11,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarrymap.functions.binary_documents import binary_structure
 from quarrymap.functions.paths import walk_key
 from quarrymap.operators import context, diff, edges, extract, graph, score, summaries, walk
 from quarrymap.settings import IndexingError, MapMissingError, NoModelError, Settings
@@ -53,8 +54,15 @@ class QuarryMap:
         return walk.indexable(project.listing(self.spark, root, self.settings, patterns), patterns, self.settings)
 
     def analysed(self, files: DataFrame) -> DataFrame:
-        read = project.with_bytes(files).withColumn("content", extract.decoded(F.coalesce(F.col("data"), F.lit("").cast("binary")))).drop("data")
-        return extract.analysed(read, self.settings).withColumnRenamed("relative_path", "path")
+        """Indexable files with content and structure; PDF and DOCX by the optional readers."""
+        kind = F.col("file_type")
+        binary = kind.isin("pdf", "docx")
+        read = project.with_bytes(files).withColumn("content", extract.decoded(F.coalesce(F.col("data"), F.lit("").cast("binary"))))
+        read = read.withColumn("binary", F.when(binary, binary_structure(kind, F.when(binary, F.col("data"))))).drop("data")
+        found = extract.analysed(read, self.settings)
+        for c in ("headings", "content_preview"):
+            found = found.withColumn(c, F.coalesce(F.col(f"binary.{c}"), F.col(c)))
+        return found.drop("binary").withColumnRenamed("relative_path", "path")
 
     def index(self, path: str, incremental: bool = True) -> ProjectMap:
         """Build or update the map of a project and store it beside the project."""
@@ -165,20 +173,6 @@ class QuarryMap:
             text = f"[LLM Error while generating answer: {e}]"
         return Answer(text, chosen, near, reason)
 
-    def ask_many(self, questions: DataFrame, project_map: ProjectMap | None = None) -> DataFrame:
-        """(question, rank, path, score): the candidates of many questions at once (question), without the model.
-
-        Questions are few and broadcast with a check of their number; beyond it they are dealt to tasks.
-        """
-        known = project_map or self.map
-        if known is None:
-            raise MapMissingError("no map")
-        few = questions.select("question").distinct()
-        side = F.broadcast(few) if few.limit(10_001).count() <= 10_000 else few.repartition("question")
-        rows = known.nodes.join(side).withColumn("score", score.relevance(score.question_words(F.col("question")), F.col("path"), F.col("key_topics"), F.col("exports")))
-        best = Window.partitionBy("question").orderBy(F.col("score").desc(), "node_ord")
-        return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= self.settings.candidates).select("question", "rank", "path", "score")
-
     @staticmethod
     def _budgeted(texts: list[tuple[str, str]], limit: int) -> list[tuple[str, str]]:
         mark = f"\n\n[... File truncated due to context limits. Showing first {limit} chars ...]"

@@ -35,14 +35,6 @@ def tree(tmp_path):
     return tmp_path
 
 
-class Model:
-    def __init__(self):
-        self.prompts = []
-
-    def __call__(self, prompt):
-        return cli.stub_model(prompt)
-
-
 def test_walk_skips_excluded_and_keeps_hidden(spark, tree):
     engine = QuarryMap(cli.stub_model, spark=spark)
     found = {r["relative_path"] for r in engine.files(str(tree)).collect()}
@@ -78,6 +70,19 @@ def test_index_then_ask(spark, tree):
     assert "src/auth.py" not in paths and paths["util.py"]["exports"] == ["def other()"]
 
 
+def test_binary_documents(spark, tmp_path):
+    from quarrymap.functions import binary_documents
+
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4 \xff")
+    (tmp_path / "b.docx").write_bytes(b"PK")
+    (tmp_path / "c.doc").write_bytes(b"x")
+    engine = QuarryMap(cli.stub_model, spark=spark)
+    rows = {r["path"]: r for r in engine.analysed(engine.files(str(tmp_path))).collect()}
+    assert rows["a.pdf"]["content_preview"] in (binary_documents.NO_PDF, binary_documents.BAD_PDF)
+    assert rows["b.docx"]["content_preview"] in (binary_documents.NO_DOCX, binary_documents.BAD_DOCX)
+    assert all(r["line_count"] == 0 and r["content"] == "" and r["headings"] == [] for r in rows.values())
+
+
 def test_errors(spark, tmp_path):
     with pytest.raises(NoModelError):
         QuarryMap("no", spark=spark)
