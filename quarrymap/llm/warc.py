@@ -62,16 +62,14 @@ def placed(records: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
     bases, total = {}, 0
     for r in counts:
         bases[r["part"]], total = total, total + r["n"]
-    if not bases:
-        bases = {0: 0}
-    base = F.element_at(F.create_map(*[F.lit(x) for kv in bases.items() for x in kv]), part)
-    ordinal = base + F.col("place").bitwiseAND((1 << 33) - 1)
+    base = F.broadcast(spark.createDataFrame(list(bases.items()), "base_part bigint, base bigint"))  # one row a partition
     inside = Window.partitionBy("file").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        staged.withColumn("ordinal", ordinal.cast("long"))
+        staged.join(base, part == F.col("base_part"))
+        .withColumn("ordinal", F.col("base") + F.col("place").bitwiseAND((1 << 33) - 1))
         .withColumn("file", F.floor(F.col("ordinal") / file_records).cast("long"))
         .withColumn("offset", F.sum("length").over(inside) - F.col("length"))
-        .drop("place")
+        .drop("place", "base_part", "base")
     )
 
 
