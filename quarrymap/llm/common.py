@@ -52,7 +52,15 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quarrymap-{uuid.uuid4().hex}/{name}"
-    df.write.options(**options).parquet(path)
+    # the result is in files now: what it was shuffled through need not stay
+    clean, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", None
+    try:
+        before = spark.conf.get(clean, "false")
+        spark.conf.set(clean, "true")
+        df.write.options(**options).parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(clean, before)
     atexit.register(_delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

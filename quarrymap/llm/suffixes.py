@@ -37,13 +37,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, nullable, stage, tidy
+from .common import byte_texts, nullable, stage
 
 LENGTH, GRAM = 50, 20
-#: Bytes that are hashed, and bytes of text that are packed, at a time.
+#: Bytes that are hashed at a time, and bytes of a batch of documents on average.
 CHUNK, PACK = 1 << 20, 8 << 20
 #: An anchor is hot if it has more than this share of all records, and ``HOT_LEAST`` at least: there are at most 1 / share of them.
 HOT_SHARE, HOT_LEAST = 1 / 65536, 1000
@@ -260,56 +261,41 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 _ASKED = "bucket int, batch int, ask binary"
 
 
-def _wanted(batch: pa.RecordBatch) -> list[np.ndarray]:
-    col = batch.column("anchors")
-    return [np.asarray(x.values) if x.is_valid else np.empty(0, np.int64) for x in col]
+def _runs(texts: list[bytes], anchors: np.ndarray, hot: np.ndarray) -> Iterator[tuple[_Chunk, int, np.ndarray, np.ndarray]]:
+    """Of the chunks of a batch: (chunk, its first text, runs of shared ``anchors`` (sorted), cold: not hot)."""
+    for a, b in _chunks(texts):
+        c = _Chunk(texts[a:b])
+        place = np.minimum(np.searchsorted(anchors, c.hash), len(anchors) - 1)
+        at = np.flatnonzero(anchors[place] == c.hash) if len(anchors) else np.empty(0, np.int64)
+        if len(at):
+            yield c, a, at, ~np.isin(c.hash[at], hot)
 
 
-def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[bytes], list[np.ndarray]]]:
-    """(batch, ids, texts, anchors) of about ``PACK`` bytes, from rows sorted by batch."""
-    now, ids, texts, wanted, size = None, [], [], [], 0
-    for rb in batches:
-        for b, i, t, w in zip(rb.column("batch").to_pylist(), rb.column("doc_id").to_pylist(), byte_texts(rb.column("text")), _wanted(rb)):
-            if b != now or size > PACK:
-                if ids:
-                    yield now, np.array(ids, np.int64), texts, wanted
-                now, ids, texts, wanted, size = b, [], [], [], 0
-            ids.append(i), texts.append(t), wanted.append(w)
-            size += len(t)
-    if ids:
-        yield now, np.array(ids, np.int64), texts, wanted
-
-
-def _runs(ids: np.ndarray, texts: list[bytes], wanted: list[np.ndarray], hot: np.ndarray):
-    """Of the chunks of a pack: (chunk, first document, runs of wanted anchors, cold: not hot)."""
-    for a, b in _chunks(texts):
-        own = [i for i in range(a, b) if len(wanted[i])]
-        if not own:
-            continue
-        c = _Chunk([texts[i] for i in own])
-        sizes = np.fromiter((len(wanted[i]) for i in own), np.int64, len(own))
-        want = np.concatenate([wanted[i] for i in own]).view(np.uint64)
-        # pairs (document, hash) as one number: documents of a chunk are few
-        mix = lambda h, d: (h ^ (d.astype(np.uint64) * np.uint64(_MULT)))
-        keep = np.isin(mix(c.hash, c.doc), mix(want, np.repeat(np.arange(len(own)), sizes)))
-        at = np.flatnonzero(keep)
-        yield c, np.array(own), at, ~np.isin(c.hash[at], hot)
-
-
-def _ask(ids, texts, wanted, hot) -> dict[bytes, list[int]]:
-    """The distinct questions of a pack: string (its anchor in front for runs, none for windows) -> [least doc_id]."""
+def _keys(c: _Chunk, at: np.ndarray, cold: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+    """(run, first window, windows, key): a cold run's key is its anchor, the anchor's place and the string; a hot run has a key a window."""
+    raw = c.data.tobytes()
+    firsts, counts = c.first[at].tolist(), c.count[at].tolist()
+    heads, places = c.hash[at].astype("<u8").tobytes(), (c.anchor[at] - c.first[at]).tolist()
+    for k, (f, n, is_cold) in enumerate(zip(firsts, counts, cold.tolist())):
+        if is_cold:
+            yield k, f, n, heads[8 * k : 8 * k + 8] + _PLACES[places[k]] + raw[f : f + n + LENGTH - 1]
+        else:
+            for w in range(f, f + n):
+                yield k, w, 1, raw[w : w + LENGTH]
+
+
+_PLACES = [bytes([i]) for i in range(256)]
+
+
+def _ask(ids: np.ndarray, texts: list[bytes], anchors: np.ndarray, hot: np.ndarray) -> dict[bytes, int]:
+    """The distinct questions of a batch and the least doc_id that has each."""
     asked: dict[bytes, int] = {}
-    for c, own, at, cold in _runs(ids, texts, wanted, hot):
-        raw = c.data.tobytes()
-        for i, f, n, d, is_cold in zip(at.tolist(), c.first[at].tolist(), c.count[at].tolist(), ids[own][c.doc[at]].tolist(), cold.tolist()):
-            if is_cold:
-                # anchor, its place in the string, the string
-                key = c.hash[i].tobytes() + bytes([c.anchor[i] - f]) + raw[f : f + n + LENGTH - 1]
-                asked[key] = min(asked.get(key, d), d)
-            else:
-                for w in range(f, f + n):
-                    key = raw[w : w + LENGTH]
-                    asked[key] = min(asked.get(key, d), d)
+    for c, a, at, cold in _runs(texts, anchors, hot):
+        docs = ids[a + c.doc[at]].tolist()
+        for k, _, _, key in _keys(c, at, cold):
+            d = asked.get(key)
+            if d is None or docs[k] < d:
+                asked[key] = docs[k]
     return asked
 
 
@@ -318,18 +304,28 @@ def _bucket_of(key: bytes, buckets: int) -> int:
     return (int.from_bytes(part, "little") * _MULT >> 17 & _WRAP) % buckets
 
 
-def _questions(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch, ids, texts, wanted in _packs(batches):
-        by: dict[int, list] = {}
-        for key, d in _ask(ids, texts, wanted, hot).items():
-            by.setdefault(_bucket_of(key, buckets), []).append((key, d))
-        for b, own in by.items():
-            docs, sizes = np.array([d for _, d in own], "<i8"), np.array([len(k) for k, _ in own], "<u1")
-            blob = np.array([len(own)], "<u4").tobytes() + docs.tobytes() + sizes.tobytes() + b"".join(k for k, _ in own)
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([batch], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "batch", "ask"])
+def _questions(batch: int, asked: dict[bytes, int], buckets: int) -> pa.Table:
+    by: dict[int, list] = {}
+    for item in asked.items():
+        by.setdefault(_bucket_of(item[0], buckets), []).append(item)
+    blobs = []
+    for own in by.values():
+        own.sort()  # strings of one anchor side by side
+        docs, sizes = np.array([d for _, d in own], "<i8"), np.array([len(k) for k, _ in own], "<u1")
+        blobs.append(_squeezed(np.array([len(own)], "<u4").tobytes() + docs.tobytes() + sizes.tobytes() + b"".join(k for k, _ in own)))
+    return pa.table({"bucket": pa.array(list(by), pa.int32()), "batch": pa.array([batch] * len(by), pa.int32()), "ask": pa.array(blobs, pa.binary())})
+
+
+def _squeezed(blob: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(blob)
+
+
+def _unsqueezed(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
 
 
 def _opened(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
+    blob = _unsqueezed(blob)
     n = int(np.frombuffer(blob, "<u4", 1)[0])
     docs = np.frombuffer(blob, "<i8", n, 4)
     ends = np.cumsum(np.frombuffer(blob, "<u1", n, 4 + 8 * n).astype(np.int64)) + 4 + 9 * n
@@ -455,64 +451,55 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts.append(found if found is not None else np.full(n, least[k]))
         flat = np.concatenate(parts)
         n = np.fromiter(map(len, parts), np.int64, len(parts))
+        heads = np.unique(np.frombuffer(b"".join(k[:8] for k in keys if len(k) != LENGTH), "<u8"))
         # a digest of the key names it
-        names = b"".join(xxhash.xxh3_128_digest(k) for k in keys)
-        back = np.array([len(keys)], "<u4").tobytes() + n.astype("<u1").tobytes() + names + flat.astype("<i8").tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int32()), pa.array([back], pa.binary())], names=["batch", "answer"])
+        names = b"".join(map(xxhash.xxh3_128_digest, keys))
+        back = np.array([len(keys), len(heads)], "<u4").tobytes() + heads.tobytes() + n.astype("<u1").tobytes() + names + flat.astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int32()), pa.array([_squeezed(back)], pa.binary())], names=["batch", "answer"])
 
 
 # --- step 4: cut ----------------------------------------------------------
 
 
-def _known(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Answers of a pack: (names of the questions in order, start of each in, the least doc_ids)."""
-    names, counts, flat = [], [], []
-    for blob in blobs:
-        n = int(np.frombuffer(blob, "<u4", 1)[0])
-        counts.append(np.frombuffer(blob, "<u1", n, 4).astype(np.int64))
-        names.append(np.frombuffer(blob, "S16", n, 4 + n))
-        flat.append(np.frombuffer(blob, "<i8", -1, 4 + 17 * n))
-    if not names:
-        return np.empty(0, "S16"), np.empty(0, np.int64), np.empty(0, np.int64)
-    counts = np.concatenate(counts)
-    return np.concatenate(names), np.cumsum(counts) - counts, np.concatenate(flat)
-
-
-def removed_spans(ids, texts, wanted, hot, blobs) -> list[np.ndarray]:
+def _known(blobs: list[bytes]) -> tuple[np.ndarray, dict[bytes, int], np.ndarray]:
+    """Answers of a batch: (cold anchors, name of a question -> its first place in, the least doc_ids)."""
+    heads, at_name, flat, base = [np.empty(0, np.uint64)], {}, [np.empty(0, np.int64)], 0
+    for blob in map(_unsqueezed, blobs):
+        n, m = np.frombuffer(blob, "<u4", 2).tolist()
+        at = 8 + 8 * m
+        heads.append(np.frombuffer(blob, "<u8", m, 8))
+        counts = np.frombuffer(blob, "<u1", n, at).astype(np.int64)
+        names = blob[at + n : at + 17 * n]
+        least = np.frombuffer(blob, "<i8", -1, at + 17 * n)
+        firsts = (base + np.cumsum(counts) - counts).tolist()
+        at_name.update((names[16 * i : 16 * i + 16], f) for i, f in enumerate(firsts))
+        flat.append(least)
+        base += len(least)
+    return np.unique(np.concatenate(heads)), at_name, np.concatenate(flat)
+
+
+def removed_spans(ids: np.ndarray, texts: list[bytes], hot: np.ndarray, blobs: list[bytes]) -> list[np.ndarray]:
     """For each text the maximal runs [start, end) of removed bytes, as an array of shape (runs, 2)."""
-    names, first_of, least = _known(blobs)
-    at_name = {n: i for n, i in zip(names.tolist(), first_of.tolist())}
+    cold_anchors, at_name, least = _known(blobs)
     out = [np.empty((0, 2), np.int64)] * len(texts)
-    for c, own, at, cold in _runs(ids, texts, wanted, hot):
-        raw = c.data.tobytes()
-        mark = np.zeros(len(raw) + 1, np.int32)
-        where, source, length = [], [], []
-
-        def note(window: int, n: int, key: bytes) -> None:
-            # numpy drops trailing zero bytes of fixed strings, on both sides alike
-            found = at_name.get(xxhash.xxh3_128_digest(key).rstrip(b"\0"))
-            if found is not None:
-                where.append(window), source.append(found), length.append(n)
-
-        for i, f, n, is_cold in zip(at.tolist(), c.first[at].tolist(), c.count[at].tolist(), cold.tolist()):
-            if is_cold:
-                note(f, n, c.hash[i].tobytes() + bytes([c.anchor[i] - f]) + raw[f : f + n + LENGTH - 1])
-            else:
-                for w in range(f, f + n):
-                    note(w, 1, raw[w : w + LENGTH])
-        length = np.array(length, np.int64)
+    digest, look = xxhash.xxh3_128_digest, at_name.get
+    for c, first_text, at, cold in _runs(texts, np.union1d(cold_anchors, hot), hot):
+        told = [(w, n, f) for _, w, n, key in _keys(c, at, cold) if (f := look(digest(key))) is not None]
+        if not told:
+            continue
+        start, length, source = np.array(told, np.int64).T
         step = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-        windows = np.repeat(np.array(where, np.int64), length) + step
-        earlier = least[np.repeat(np.array(source, np.int64), length) + step]
-        doc = np.searchsorted(c.ends, windows, side="right")
-        gone = windows[earlier < ids[own][doc]]
-        np.add.at(mark, gone, 1)
-        np.add.at(mark, gone + LENGTH, -1)
+        windows = np.repeat(start, length) + step
+        earlier = least[np.repeat(source, length) + step]
+        gone = windows[earlier < ids[first_text + np.searchsorted(c.ends, windows, side="right")]]
+        if not len(gone):
+            continue
+        size = len(c.data)
+        mark = np.bincount(gone, minlength=size + 1) - np.bincount(gone + LENGTH, minlength=size + 1)
         covered = np.cumsum(mark[:-1]) > 0
-        for k, i in enumerate(own.tolist()):
-            a, b = int(c.starts[k]), int(c.ends[k])
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], covered[a:b].view(np.int8), [0]])))
-            out[i] = edge.reshape(-1, 2)
+        for k in np.unique(np.searchsorted(c.ends, gone, side="right")).tolist():
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], covered[c.starts[k] : c.ends[k]].view(np.int8), [0]])))
+            out[first_text + k] = edge.reshape(-1, 2)
     return out
 
 
@@ -536,42 +523,51 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     buckets = 4 * tasks
 
     # 1. copies of whole texts
-    digests = stage(ided.select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("size")), "digests")
-    firsts = digests.where(F.col("size") >= LENGTH).groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("digest", "first_id")
-    copies = digests.join(firsts, "digest").where("doc_id > first_id").select("doc_id", "digest").distinct()
-    copies = stage(copies.groupBy(F.col("doc_id").alias("c_id")).agg(F.collect_set("digest").alias("copied")), "copies")
-    # ids all of whose rows have one text
-    sole = digests.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a = b")
-    settled = copies.join(sole, F.col("c_id") == F.col("doc_id"), "left_semi").select("c_id")
+    digests = stage(ided.where(F.octet_length("text") >= LENGTH).select("doc_id", F.sha2("text", 256).alias("digest")), "digests")
+    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("digest", "first_id")
+    copies = stage(digests.join(firsts, "digest").where("doc_id > first_id").select("doc_id", "digest").distinct(), "copies")
 
     # 2. shared anchors
     records = ided.select("doc_id", "text").mapInArrow(lambda b: _anchor_records(b, buckets), _ANCHORS)
     shared = records.repartition(tasks, "bucket").mapInArrow(_shared_anchors, "doc_id bigint, anchor bigint, n bigint")
     shared = stage(shared, "anchors", compression="zstd")
-    tidy(spark)
     limit = max(HOT_LEAST, (shared.agg(F.sum("n")).collect()[0][0] or 0) * HOT_SHARE)
     hot = [r["anchor"] for r in shared.where(F.col("n") > limit).select("anchor").collect()]  # at most 1 / HOT_SHARE
     known_hot = spark.sparkContext.broadcast(np.sort(np.array(hot, np.int64).view(np.uint64)))
 
     # 3. what each batch of documents asks, and the answers
-    wanted = shared.where("n = 0").join(settled, F.col("doc_id") == F.col("c_id"), "left_anti")
-    wanted = stage(wanted.groupBy(F.col("doc_id").alias("w_id")).agg(F.collect_set("anchor").alias("anchors")), "wanted", compression="zstd")
     batches = max(1, data_bytes // PACK + 1)
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch")
-    asking = ided.join(wanted, F.col("doc_id") == F.col("w_id")).select(batch, "doc_id", "text", "anchors")
-    asked = asking.repartition(tasks, "batch").sortWithinPartitions("batch").mapInArrow(lambda b: _questions(b, buckets, known_hot.value), _ASKED)
-    answered = stage(asked.repartition(tasks, "bucket").mapInArrow(_answers, "batch int, answer binary"), "answers", compression="zstd")
-    tidy(spark)
+    nothing = {"anchor": "bigint", "c_id": "bigint", "digest": "string", "answer": "binary"}
+
+    def said(rows: DataFrame, **columns) -> DataFrame:
+        return rows.select("batch", *[columns.get(c, F.lit(None).cast(t)).alias(c) for c, t in nothing.items()])
+
+    of_copies = said(copies.select(batch, "doc_id", "digest"), c_id=F.col("doc_id"), digest=F.col("digest"))
+    of_anchors = said(shared.where("n = 0").select(batch, "anchor"), anchor=F.col("anchor"))
+    rows = ided.select(batch, "doc_id", "text", "rest")
+
+    def opened(rows: pa.Table, told: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """Ids and texts of a batch, and which are copies: they have no text any more."""
+        ids, data = np.asarray(rows.column("doc_id").combine_chunks()), byte_texts(rows.column("text").combine_chunks())
+        copied = {(c, d) for c, d in zip(told.column("c_id").to_pylist(), told.column("digest").to_pylist()) if c is not None} if told.column("c_id").null_count < len(told) else set()
+        named = {c for c, _ in copied}
+        return ids, data, np.array([i in named and (i, hashlib.sha256(t).hexdigest()) in copied for i, t in zip(ids.tolist(), data)], bool)
+
+    def ask(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
+        ids, data, copy = opened(rows, told)
+        anchors = np.unique(np.asarray(told.column("anchor").drop_null()).view(np.uint64))
+        return _questions(key[0].as_py(), _ask(ids, [b"" if c else t for t, c in zip(data, copy)], anchors, known_hot.value), buckets)
+
+    asked = rows.drop("rest").groupBy("batch").cogroup(of_anchors.union(of_copies).groupBy("batch")).applyInArrow(ask, _ASKED)
+    answered = stage(asked.repartition(tasks, "bucket").mapInArrow(_answers, "batch int, answer binary"), "answers")
 
     # 4. every batch with its answers
-    def cut(rows: pa.Table, found: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        ids, data = np.asarray(rows.column("doc_id")), byte_texts(rows.column("text").combine_chunks())
-        anchors = [np.array(x or [], np.int64) for x in rows.column("anchors").to_pylist()]
-        spans = removed_spans(ids, data, anchors, known_hot.value, found.column("answer").to_pylist())
-        for i, copied in enumerate(rows.column("copied").to_pylist()):
-            if copied and hashlib.sha256(data[i]).hexdigest() in copied:
-                spans[i] = np.array([[0, len(data[i])]])
+    def cut(rows: pa.Table, told: pa.Table) -> pa.Table:
+        ids, data, copy = opened(rows, told)
+        spans = removed_spans(ids, [b"" if c else t for t, c in zip(data, copy)], known_hot.value, told.column("answer").drop_null().to_pylist())
+        for i in np.flatnonzero(copy).tolist():
+            spans[i] = np.array([[0, len(data[i])]])
         return pa.table({
             "doc_id": rows.column("doc_id"),
             "n_bytes": pa.array([len(t) for t in data], pa.int64()),
@@ -580,9 +576,8 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
             "rest": rows.column("rest").cast(nullable(rows.schema.field("rest").type)),
         })
 
-    rows = ided.join(wanted, F.col("doc_id") == F.col("w_id"), "left").join(copies, F.col("doc_id") == F.col("c_id"), "left").select(batch, "doc_id", "text", "anchors", "copied", "rest")
     kind = f"doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary, rest {texts.schema['rest'].dataType.simpleString()}"
-    done = rows.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(cut, kind)
+    done = rows.groupBy("batch").cogroup(said(answered, answer=F.col("answer")).union(of_copies).groupBy("batch")).applyInArrow(cut, kind)
     left = texts.where("doc_id IS NULL OR text IS NULL").select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)").alias("spans"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("kept"), "rest"
     )
