@@ -59,13 +59,24 @@ def word_of(token: bytes) -> bytes:
     return token.strip(_EDGE) or token
 
 
-def subwords(word: bytes, p: ToxicityParams) -> list[int]:
-    """Buckets of a word: itself and its character n-grams between edge marks."""
-    text = "<" + word.decode("utf-8", "replace") + ">"
-    grams = {text}
+def subwords(words: list[bytes], p: ToxicityParams) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word number) of every subword of every word, itself included: UTF-8 n-grams between edge marks, hashed all at once."""
+    marked = [b"<" + w + b">" for w in words]
+    data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    end = np.repeat(np.cumsum(size), size)
+    owner = np.repeat(np.arange(len(marked)), size)
+    buckets = [np.fromiter((zlib.crc32(m) % p.buckets for m in marked), np.int64, len(marked))]
+    owners = [np.arange(len(marked))]
     for n in range(p.min_n, p.max_n + 1):
-        grams.update(text[i : i + n] for i in range(len(text) - n + 1))
-    return sorted({zlib.crc32(g.encode()) % p.buckets for g in grams})
+        m = max(0, len(data) - n + 1)
+        h = np.full(m, n, np.uint64)
+        for j in range(n):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + data[j : j + m]
+        inside = np.arange(m) + n <= end[:m]
+        buckets.append(((h[inside] >> np.uint64(20)) % np.uint64(p.buckets)).astype(np.int64))
+        owners.append(owner[:m][inside])
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -73,7 +84,7 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def bag(text: bytes) -> tuple[list[bytes], list[int]]:
-    """Distinct words of a text and their counts."""
+    """Distinct words of a text, in order of first appearance, and their counts."""
     counts = Counter(map(word_of, tokens(text)))
     return list(counts), list(counts.values())
 
@@ -85,33 +96,31 @@ class ToxicityModel:
     bias: float
     params: ToxicityParams
 
-    def scores(self, texts: list[bytes], cache: dict) -> np.ndarray:
+    def word_odds(self, words: list[bytes]) -> np.ndarray:
+        """The mean of each word's subwords."""
+        buckets, owner = subwords(words, self.params)
+        n = len(words)
+        return np.bincount(owner, self.bucket_odds[buckets], n) / np.maximum(1, np.bincount(owner, minlength=n))
+
+    def scores(self, texts: list[bytes], cache: dict[bytes, float], limit: int = 400_000) -> np.ndarray:
+        """Scores of whole texts; ``cache`` keeps the log-odds of tokens and is cleared when it grows too large."""
         out = np.empty(len(texts))
         look = cache.__getitem__
-        for i, text in enumerate(texts):
-            words = tokens(text)
-            mean = sum(map(look, words)) / (len(words) + self.params.padding)
-            out[i] = 1 / (1 + math.exp(-max(-60.0, min(60.0, self.bias + mean))))
+        for at in range(0, len(texts), 256):
+            split = [tokens(t) for t in texts[at : at + 256]]
+            if len(cache) > limit:
+                cache.clear()
+            new = [w for w in set().union(*split) if w not in cache]
+            if new:
+                cache.update(zip(new, self.word_odds([word_of(w) for w in new]).tolist()))
+            for i, words in enumerate(split, at):
+                mean = sum(map(look, words)) / (len(words) + self.params.padding)
+                out[i] = 1 / (1 + math.exp(-max(-60.0, min(60.0, self.bias + mean))))
         return out
 
 
-class _WordOdds(dict):
-    """Log-odds of tokens, filled as they turn up; cleared when it grows too large."""
-
-    def __init__(self, model: ToxicityModel, limit: int = 400_000):
-        super().__init__()
-        self.model, self.limit = model, limit
-
-    def __missing__(self, token: bytes) -> float:
-        if len(self) >= self.limit:
-            self.clear()
-        odds = float(self.model.bucket_odds[subwords(word_of(token), self.model.params)].mean())
-        self[token] = odds
-        return odds
-
-
-def train(bags: list[tuple[list[bytes], list[int]]], y: np.ndarray, prior: float, p: ToxicityParams) -> ToxicityModel:
-    """Fit bucket vectors and softmax weights with Adam on the documents given.
+def train(vocabulary: list[bytes], bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, prior: float, p: ToxicityParams) -> ToxicityModel:
+    """Fit bucket vectors and softmax weights with Adam on bags of (word numbers, counts).
 
     ``prior`` is the share of label 1 among all usable labels: the sample is
     balanced, so the classes are weighted back to it.
@@ -120,28 +129,34 @@ def train(bags: list[tuple[list[bytes], list[int]]], y: np.ndarray, prior: float
     n = len(bags)
     if n == 0 or not 0 < y.sum() < n:
         return empty if n == 0 or y.sum() == 0 else ToxicityModel(empty.bucket_odds, 60.0, p)
-    known: dict[bytes, list[int]] = {}
-    rows, cols, weights = [], [], []
-    for words, counts in bags:
-        total = sum(counts) + p.padding
-        r: dict[int, float] = {}
-        for w, c in zip(words, counts):
-            b = known.get(w)
-            if b is None:
-                b = known[w] = subwords(w, p)
-            part = c / total / len(b)
-            for k in b:
-                r[k] = r.get(k, 0.0) + part
-        cols.append(np.fromiter(r.keys(), np.int32, len(r)))
-        weights.append(np.fromiter(r.values(), np.float32, len(r)))
-        rows.append(len(r))
-    seen = np.bincount(np.concatenate(cols), minlength=p.buckets)
+    buckets, size = [], []
+    for at in range(0, len(vocabulary), 20_000):
+        b, owner = subwords(vocabulary[at : at + 20_000], p)
+        buckets.append(b[np.argsort(owner, kind="stable")].astype(np.int32))
+        size.append(np.bincount(owner))
+    buckets, size = np.concatenate(buckets), np.concatenate(size)
+    start = np.cumsum(size) - size
+
+    def of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets of all the words, subwords of each)."""
+        n_sub = size[words]
+        step = np.arange(n_sub.sum()) - np.repeat(np.cumsum(n_sub) - n_sub, n_sub)
+        return buckets[np.repeat(start[words], n_sub) + step], n_sub
+
+    seen = np.zeros(p.buckets, np.int64)
+    for words, _ in bags:
+        seen[np.unique(of(words)[0])] += 1
     live = np.flatnonzero(seen >= max(2, p.min_share * n))
     new = np.full(p.buckets, -1, np.int32)
     new[live] = np.arange(len(live), dtype=np.int32)
-    for i in range(n):
-        keep = new[cols[i]] >= 0
-        cols[i], weights[i] = new[cols[i][keep]], weights[i][keep] * p.scale
+    cols, weights = [], []
+    for words, counts in bags:
+        own, n_sub = of(words)
+        share = np.repeat(counts / (counts.sum() + p.padding) / np.maximum(1, n_sub), n_sub)
+        keep = new[own] >= 0
+        col, where = np.unique(new[own[keep]], return_inverse=True)
+        cols.append(col)
+        weights.append((np.bincount(where, share[keep], len(col)) * p.scale).astype(np.float32))
     rng = np.random.default_rng(p.seed)
     emb = rng.normal(0, 0.05, (len(live), p.dim)).astype(np.float32)
     soft, bias = rng.normal(0, 0.5, (p.dim, 2)).astype(np.float32), np.zeros(2, np.float32)
@@ -204,14 +219,18 @@ def fit(documents: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityPar
             "counts": pa.array([b[1] for b in made], pa.list_(pa.int32())),
         }
 
-    got = map_columns(texts, bags, ["doc_id", "y"], "words array<string>, counts array<int>").toArrow().to_pydict()
-    by_id = sorted(range(len(got["doc_id"])), key=lambda i: got["doc_id"][i])
-    # of repeated rows and of copies one
-    first = {(tuple(got["words"][i]), tuple(got["counts"][i])): i for i in reversed(by_id)}
-    order = sorted(first.values(), key=lambda i: got["doc_id"][i])
-    made = [([w.encode() for w in got["words"][i]], got["counts"][i]) for i in order]
+    got = map_columns(texts, bags, ["doc_id", "y"], "words array<string>, counts array<int>").toArrow()
+    vocabulary: dict[str, int] = {}
+    chosen_bags: dict[tuple[bytes, bytes], tuple] = {}  # of repeated rows and of copies one
+    for i in np.argsort(np.asarray(got.column("doc_id")), kind="stable").tolist():
+        words = got.column("words")[i].as_py()
+        own = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words))
+        counts = np.array(got.column("counts")[i].as_py(), np.int32)
+        chosen_bags.setdefault((own.tobytes(), counts.tobytes()), (own, counts, got.column("y")[i].as_py()))
+    del got
     total = sum(count.values())
-    return train(made, np.array([got["y"][i] for i in order], int), count.get(1, 0) / total if total else 0.0, p)
+    y = np.array([b[2] for b in chosen_bags.values()], int)
+    return train([w.encode() for w in vocabulary], [b[:2] for b in chosen_bags.values()], y, count.get(1, 0) / total if total else 0.0, p)
 
 
 def score(documents: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
@@ -220,7 +239,7 @@ def score(documents: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFr
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         m = shared.value
-        cache = m.__dict__.setdefault("cache", _WordOdds(m))
+        cache = m.__dict__.setdefault("cache", {})
         return {"score": pa.array(m.scores(byte_texts(batch.column("text")), cache), pa.float64())}
 
     return map_columns(documents, run, keep, "score double")
