@@ -525,7 +525,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     # 1. copies of whole texts
     digests = stage(ided.where(F.octet_length("text") >= LENGTH).select("doc_id", F.sha2("text", 256).alias("digest")), "digests")
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("digest", "first_id")
-    copies = stage(digests.join(firsts, "digest").where("doc_id > first_id").select("doc_id", "digest").distinct(), "copies")
+    copies = stage(digests.join(firsts, "digest").where("doc_id > first_id").select("doc_id", "digest"), "copies")
 
     # 2. shared anchors
     records = ided.select("doc_id", "text").mapInArrow(lambda b: _anchor_records(b, buckets), _ANCHORS)
