@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 3, 1
 
 
+#: Rows whose texts are Python objects at the same time.
+ROWS = 500
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the corpus tables under ``sf_dir`` (any path Spark can read)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -83,6 +88,14 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]
 
 
+def release() -> None:
+    """At the end of a task: return freed memory to the system, as Python workers outlive their tasks."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def nullable(kind: pa.DataType) -> pa.DataType:
     """The Arrow type with nulls allowed at every level, as Spark takes a schema string."""
     if pa.types.is_struct(kind):
@@ -100,14 +113,22 @@ def _loose(column: pa.Array) -> pa.Array:
 
 
 def map_columns(
-    df: DataFrame, compute: Callable[[pa.RecordBatch], dict[str, pa.Array]], keep: list[str], schema: str
+    df: DataFrame, compute: Callable[[pa.RecordBatch], dict[str, pa.Array]], keep: list[str], schema: str, finish: Callable[[], None] | None = None
 ) -> DataFrame:
-    """Add the columns ``compute`` makes of each Arrow batch to ``keep``; row for row, no shuffle."""
+    """Add the columns ``compute`` makes to ``keep``; row for row, no shuffle, ``ROWS`` rows of an Arrow batch at a time.
+
+    ``finish`` is called at the end of each task, to drop what ``compute`` kept.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = compute(batch)
-            yield pa.RecordBatch.from_arrays([_loose(batch.column(c)) for c in keep] + list(made.values()), names=keep + list(made))
+        try:
+            for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, len(whole), ROWS)):
+                made = compute(batch)
+                yield pa.RecordBatch.from_arrays([_loose(batch.column(c)) for c in keep] + list(made.values()), names=keep + list(made))
+        finally:
+            if finish:
+                finish()
+            release()
 
     types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     return df.mapInArrow(run, f"{types}, {schema}")

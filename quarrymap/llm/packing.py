@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import ROWS, release, stage
 from .tokens import tokenizer_file, word_bpe
 
 WINDOW, END_ID = 2048, 1
@@ -36,14 +36,18 @@ def tokenized(documents: DataFrame, file: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, so_far = word_bpe(file), 0
-        for batch in batches:
-            texts = batch.column("text")
-            for at in range(0, len(batch), 1000):
-                ids = [bpe.encode(t or "") + end for t in texts.slice(at, 1000).to_pylist()]
-                n = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
-                first = so_far + np.cumsum(n) - n
-                so_far += int(n.sum())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, 1000), pa.array(ids, pa.binary()), pa.array(n), pa.array(first)], names=["doc_id", "ids", "tokens", "first"])
+        try:
+            for batch in batches:
+                texts = batch.column("text")
+                for at in range(0, len(batch), ROWS):
+                    ids = [bpe.encode(t or "") + end for t in texts.slice(at, ROWS).to_pylist()]
+                    n = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+                    first = so_far + np.cumsum(n) - n
+                    so_far += int(n.sum())
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, ROWS), pa.array(ids, pa.binary()), pa.array(n), pa.array(first)], names=["doc_id", "ids", "tokens", "first"])
+        finally:
+            bpe.cache.clear()
+            release()
 
     made = documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids binary, tokens bigint, first bigint")
     return made.withColumn("place", F.shiftright(F.monotonically_increasing_id(), 33))

@@ -102,7 +102,7 @@ class ToxicityModel:
         n = len(words)
         return np.bincount(owner, self.bucket_odds[buckets], n) / np.maximum(1, np.bincount(owner, minlength=n))
 
-    def scores(self, texts: list[bytes], cache: dict[bytes, float], limit: int = 400_000) -> np.ndarray:
+    def scores(self, texts: list[bytes], cache: dict[bytes, float], limit: int = 150_000) -> np.ndarray:
         """Scores of whole texts; ``cache`` keeps the log-odds of tokens and is cleared when it grows too large."""
         out = np.empty(len(texts))
         look = cache.__getitem__
@@ -233,16 +233,25 @@ def fit(documents: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityPar
     return train([w.encode() for w in vocabulary], [b[:2] for b in chosen_bags.values()], y, count.get(1, 0) / total if total else 0.0, p)
 
 
+_CACHED: list = [None, {}]
+
+
+def _odds_cache(model: ToxicityModel) -> dict[bytes, float]:
+    """The worker's one cache of log-odds, new with each model: broadcast values outlive their stage in a worker."""
+    if _CACHED[0] is not model:
+        _CACHED[:] = [model, {}]
+    return _CACHED[1]
+
+
 def score(documents: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
     """``keep`` and the score of every row's whole text."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # buckets x 4 bytes, whatever the input
 
     def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         m = shared.value
-        cache = m.__dict__.setdefault("cache", {})
-        return {"score": pa.array(m.scores(byte_texts(batch.column("text")), cache), pa.float64())}
+        return {"score": pa.array(m.scores(byte_texts(batch.column("text")), _odds_cache(m)), pa.float64())}
 
-    return map_columns(documents, run, keep, "score double")
+    return map_columns(documents, run, keep, "score double", lambda: _odds_cache(shared.value).clear())
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> DataFrame:
