@@ -188,12 +188,11 @@ def tree_entries(spark, d):
     return walk.tree_entries(V.tree_paths(spark, d))
 
 
-@query(f"SELECT relative_path, row_number() OVER (ORDER BY string_split(relative_path, '/')) AS walk_ord FROM (SELECT DISTINCT relative_path FROM {V.TREE_PATHS} ORDER BY 1 LIMIT 1000)")
+@query(f"SELECT relative_path, row_number() OVER (ORDER BY string_split(relative_path, '/')) AS walk_ord FROM (SELECT DISTINCT relative_path FROM {V.TREE_PATHS})")
 def walk_order(spark, d):
     from pyspark.sql import Window
 
-    first = V.tree_paths(spark, d).select("relative_path").distinct().orderBy("relative_path").limit(1000)
-    return first.select("relative_path", F.row_number().over(Window.orderBy(F.split("relative_path", "/"))).cast("bigint").alias("walk_ord"))
+    return V.tree_paths(spark, d).select("relative_path").distinct().select("relative_path", F.row_number().over(Window.orderBy(F.split("relative_path", "/"))).cast("bigint").alias("walk_ord"))
 
 
 @query(f"SELECT relative_path, split_part(relative_path, '/', -1) AS name, regexp_extract(relative_path, '^(.*)/[^/]*$', 1) AS folder, regexp_extract(split_part(relative_path, '/', -1), '^.+(\\.[^.]+)$', 1) AS ext FROM {V.TREE_PATHS}")
@@ -410,12 +409,15 @@ def context_budget(spark, d):
 
 
 @query(
-    f"""SELECT string_agg('### File: ' || path || chr(10) || '```' || chr(10) || c || chr(10) || '```' || chr(10), chr(10) ORDER BY doc_id) AS context
-    FROM (SELECT doc_id, path, CASE WHEN length(content) > 4000 THEN substring(content, 1, 4000) || {_CUT.format(n='4000')} ELSE content END AS c FROM {V.DOC_FILES} ORDER BY doc_id LIMIT 25)"""
+    f"""WITH routed AS (SELECT path, row_number() OVER (ORDER BY score DESC, node_ord) AS ord FROM ({_SCORED}) ORDER BY score DESC, node_ord LIMIT 20)
+    SELECT string_agg('### File: ' || path || chr(10) || '```' || chr(10) || c || chr(10) || '```' || chr(10), chr(10) ORDER BY ord) AS context
+    FROM (SELECT ord, path, CASE WHEN length(content) > 4000 THEN substring(content, 1, 4000) || {_CUT.format(n='4000')} ELSE content END AS c FROM routed JOIN {V.DOC_FILES} USING (path))"""
 )
 def answer_context(spark, d):
-    first = V.doc_files(spark, d).orderBy("doc_id").limit(25).select(F.col("doc_id").alias("ord"), "path", "content")
-    return context.assembled(context.budgeted(first, each_chars=4000))
+    """The context of the candidates for a question, best first."""
+    best = score.best(V.doc_nodes(spark, d), F.lit(QUESTION), 20).select("path", F.struct((-F.col("score")).alias("s"), "node_ord").alias("ord"))
+    texts = V.doc_files(spark, d).select("path", "content").join(F.broadcast(best), "path")  # twenty rows
+    return context.assembled(context.budgeted(texts, each_chars=4000))
 
 
 # --- rows only ------------------------------------------------------------------
