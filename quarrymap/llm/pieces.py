@@ -313,7 +313,7 @@ def encode(documents: DataFrame, chunk: int = CHUNK, file: str | None = None) ->
         bpe = piece_bpe(file)
         return {"chunk": pa.array(np.zeros(len(batch), np.int32)), "ids": pa.array([bpe.encode(t) for t in batch.column("text").to_pylist()], pa.binary())}
 
-    small = map_columns(texts.where(F.char_length("text") <= chunk), direct, ["doc_id", "text"], "chunk int, ids binary")
+    small = map_columns(texts.where(F.char_length("text") <= chunk), direct, ["doc_id", "text"], "chunk int, ids binary", lambda: piece_bpe(file).cache.clear())
     small = small.select("doc_id", "chunk", "ids", F.when(F.col("text") == "", F.col("text")).otherwise(F.concat(F.lit(" "), F.translate("text", "▁", " "))).alias("part"))
     giant = stage(texts.where(F.char_length("text") > chunk).withColumn("row", F.monotonically_increasing_id()), "giant")
     return small.unionByName(_giant(giant, chunk, file))
@@ -331,12 +331,33 @@ def decode(encoded: DataFrame, file: str | None = None) -> DataFrame:
     return map_columns(encoded, run, encoded.columns, "text string")
 
 
+def _checked(bpe: PieceBpe, ids: bytes, part: str) -> tuple[int, int, bool]:
+    """(tokens, checksum of the ids as 32-bit numbers, whether they stand for ``part``)."""
+    numbers = np.frombuffer(ids, "<u2")
+    return len(numbers), zlib.crc32(numbers.astype("<u4").tobytes()), b"".join(map(bpe.raw.__getitem__, numbers.tolist())).decode("utf-8", "replace") == part
+
+
 def report(documents: DataFrame, chunk: int = CHUNK, file: str | None = None) -> DataFrame:
-    """(doc_id, chunk, n_tokens, ids_crc32, round_trip) of every row and chunk."""
-    encoded = decode(encode(documents, chunk, file), file)
+    """(doc_id, chunk, n_tokens, ids_crc32, round_trip) of every row and chunk: encoded and decoded in the same pass."""
+    file = file or tokenizer_file("piece_bpe_32k.model")
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
-    def crc(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        ids = batch.column("ids").to_pylist()
-        return {"n_tokens": pa.array([len(b) // 2 for b in ids], pa.int64()), "ids_crc32": pa.array([zlib.crc32(np.frombuffer(b, "<u2").astype("<u4").tobytes()) for b in ids], pa.int64())}
+    def columns(made: list[tuple[int, int, bool]]) -> dict[str, pa.Array]:
+        n, crc, same = zip(*made) if made else ((), (), ())
+        return {"n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "round_trip": pa.array(same, pa.bool_())}
 
-    return map_columns(encoded.select("doc_id", "chunk", "ids", (F.col("text") == F.col("part")).alias("round_trip")), crc, ["doc_id", "chunk", "round_trip"], "n_tokens bigint, ids_crc32 bigint").select("doc_id", "chunk", "n_tokens", "ids_crc32", "round_trip")
+    def whole(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        bpe, made = piece_bpe(file), []
+        for at in range(0, len(batch), 200):
+            for t in batch.column("text").slice(at, 200).to_pylist():
+                made.append(_checked(bpe, bpe.encode(t), " " + t.replace("▁", " ") if t else ""))
+        return {"chunk": pa.array(np.zeros(len(made), np.int32)), **columns(made)}
+
+    def parts(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        bpe = piece_bpe(file)
+        return columns([_checked(bpe, i, p) for i, p in zip(batch.column("ids").to_pylist(), batch.column("part").to_pylist())])
+
+    kind = "n_tokens bigint, ids_crc32 bigint, round_trip boolean"
+    small = map_columns(texts.where(F.char_length("text") <= chunk), whole, ["doc_id"], "chunk int, " + kind, lambda: piece_bpe(file).cache.clear())
+    giant = stage(texts.where(F.char_length("text") > chunk).withColumn("row", F.monotonically_increasing_id()), "giant")
+    return small.unionByName(map_columns(_giant(giant, chunk, file), parts, ["doc_id", "chunk"], kind))

@@ -27,7 +27,7 @@ _NEVER = "\x03"
 class WordCache(dict):
     """word -> bytes of its uint16 ids, cleared beyond ``limit`` words."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 
@@ -144,7 +144,7 @@ class PieceBpe:
         ids[ord(_SEPARATOR)] = self.mark
         self.ids = np.array(ids, np.uint32)
         self.encoder = tiktoken.Encoding("piece-bpe", pat_str="[^\x02]+|\x02", mergeable_ranks=ranks, special_tokens={_NEVER: len(ids)})._core_bpe
-        self.cache = WordCache()
+        self.cache = WordCache(200_000)  # its words run on over line ends: they are longer
 
     def _new(self, words: list[str]) -> list[bytes]:
         text = "".join(" " + w + _SEPARATOR for w in words)
