@@ -102,19 +102,48 @@ def differing_leaves(a: list[DataFrame], b: list[DataFrame], fan: int = FAN) ->
     return bad
 
 
+def _copies(records: DataFrame, n: str, start) -> DataFrame:
+    """A row for each of ``n`` copies, at positions (``slot``) from ``start``; none for 0."""
+    return records.where(f"{n} > 0").select("page_id", "digest", "length", F.explode(F.sequence(start, start + F.col(n) - 1)).alias("slot"))
+
+
+def _turns(records: DataFrame) -> DataFrame:
+    """Adds ``turn``: the place of a record among those of its id, by digest."""
+    numbered = stage(placed(records).drop("file", "offset"), "turns")
+    starts = numbered.groupBy(F.col("page_id").alias("s_id")).agg(F.min("ordinal").alias("s"))
+    return numbered.join(starts, F.col("page_id").eqNullSafe(F.col("s_id"))).withColumn("turn", F.col("ordinal") - F.col("s")).drop("s_id", "s", "ordinal")
+
+
 def audit(archive: DataFrame, replica: DataFrame) -> DataFrame:
-    """Every record of the archive's pages with its place, digest and whether the replica's is the same.
+    """Every record of either side with its place in the archive, digest and whether both have it.
 
-    Both are tables of pages; a replica's records keep the archive's order.
+    Both are tables of pages. Equal records of an id stand at the same leaf, what
+    is left of an id is paired in the order of the digests. Records that only the
+    replica has are leaves behind the archive's; they have no file and offset, and
+    their own length and digest.
     """
     first = stage(placed(digests(archive)), "archive")
-    # the replica's records stand where their pages do: by id, and by length among equal ids
-    own = Window.partitionBy("page_id").orderBy("length", "digest")
-    slots = first.select("page_id", "ordinal", F.row_number().over(Window.partitionBy("page_id").orderBy("ordinal")).alias("turn"))
-    copy = digests(replica).withColumn("turn", F.row_number().over(own))
-    copy = copy.join(slots, copy["page_id"].eqNullSafe(slots["page_id"]) & (copy["turn"] == slots["turn"])).select("ordinal", "digest")
+    # equal records of the archive lie side by side
+    ours = first.groupBy("page_id", "digest").agg(F.max("length").alias("length"), F.min("ordinal").alias("start"), F.count("*").alias("a"))
+    theirs = digests(replica).groupBy(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest")).agg(F.max("length").alias("r_length"), F.count("*").alias("r"))
+    both = ours.join(theirs, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "full")
+    had, has = F.coalesce("a", F.lit(0)), F.coalesce("r", F.lit(0))
+    both = stage(
+        both.select(
+            F.coalesce("page_id", "r_id").alias("page_id"), F.coalesce("digest", "r_digest").alias("digest"), F.coalesce("length", "r_length").alias("length"),
+            "start", F.least(had, has).alias("same"), (had - F.least(had, has)).alias("lost"), (has - F.least(had, has)).alias("other"),
+        ), "groups",
+    )
+    lost = _turns(_copies(both, "lost", F.col("start") + F.col("same"))).select(F.col("page_id").alias("l_id"), F.col("turn").alias("l_turn"), F.col("slot").alias("ordinal"))
+    other = _turns(_copies(both, "other", F.lit(0).cast("long")).drop("slot"))
+    met = stage(other.join(lost, F.col("page_id").eqNullSafe(F.col("l_id")) & (F.col("turn") == F.col("l_turn")), "left").select("page_id", "digest", "length", "ordinal"), "paired")
+    behind = first.agg(F.coalesce(F.max("ordinal") + 1, F.lit(0))).collect()[0][0]
+    added = stage(placed(met.where("ordinal IS NULL").drop("ordinal")).withColumn("ordinal", F.col("ordinal") + behind), "added")
+    copy = _copies(both, "same", F.col("start")).select(F.col("slot").alias("ordinal"), "digest")
+    copy = copy.unionByName(met.where("ordinal IS NOT NULL").select("ordinal", "digest")).unionByName(added.select("ordinal", "digest"))
     bad = differing_leaves(tree(first), tree(copy))
-    return first.join(bad, F.col("ordinal") == F.col("bad"), "left").select("page_id", "file", "offset", "length", F.col("digest").alias("sha256"), F.col("bad").isNull().alias("intact"))
+    rows = first.unionByName(added.withColumn("file", F.lit(None).cast("long")).withColumn("offset", F.lit(None).cast("long")))
+    return rows.join(bad, F.col("ordinal") == F.col("bad"), "left").select("page_id", "file", "offset", "length", F.col("digest").alias("sha256"), F.col("bad").isNull().alias("intact"))
 
 
 # --- files --------------------------------------------------------------------

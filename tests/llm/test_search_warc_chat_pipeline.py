@@ -63,6 +63,24 @@ def test_audit(spark, monkeypatch):
     assert warc.audit(none, none).count() == 0
 
 
+def test_audit_pairs_equal_records_and_shows_added_ones(spark):
+    schema = "page_id long, url string, html string"
+    texts = ["a", "bbbb", "cc", "ccccccccc", "dd", "e" * 30]
+    rows = [(k, "u", t) for k in (1, 2, None) for t in texts] + [(2, "u", "a"), (None, "u", "cc")]
+    own = spark.createDataFrame(rows, schema)
+    assert all(r["intact"] for r in warc.audit(own, spark.createDataFrame(rows[::-1], schema)).collect())
+    # a new page, one more record of an id, one more copy of a record, one changed and one lost
+    other = [r for r in rows if r not in ((1, "u", "dd"), (None, "u", "bbbb"))] + [(9, "u", "new"), (2, "u", "more"), (2, "u", "bbbb"), (1, "u", "changed")]
+    got = warc.audit(own, spark.createDataFrame(other, schema)).collect()
+    assert len(got) == len(rows) + 3
+    digest = {(r["page_id"], t): r["digest"] for t in {t for _, _, t in rows + other} for r in warc.digests(spark.createDataFrame([(k, "u", t) for k in (1, 2, 9, None)], schema)).collect()}
+    bad = {(r["page_id"], r["sha256"], r["file"] is None, r["offset"] is None) for r in got if not r["intact"]}
+    want = {(1, "dd", False), (None, "bbbb", False), (9, "new", True), (2, "more", True), (2, "bbbb", True)}
+    assert bad == {(k, digest[k, t], x, x) for k, t, x in want} and sum(not r["intact"] for r in got) == 5
+    nothing = own.where("false")
+    assert [r["intact"] for r in warc.audit(nothing, own).collect()] == [False] * len(rows) == [r["intact"] for r in warc.audit(own, nothing).collect()]
+
+
 @pytest.mark.parametrize("compress", [False, True])
 def test_files_round_trip(spark, tmp_path, compress):
     own = pages(spark).repartition(3)
