@@ -10,6 +10,8 @@ from quarrymap.functions.text import strip, strip_chars
 # Points for a word in the path, in a topic, in an export; and for files of these names.
 PATH_POINTS, TOPIC_POINTS, EXPORT_POINTS, ENTRY_POINTS = 5, 3, 2, 1
 ENTRY_NAMES = ("main", "index", "__init__")
+#: Names that are broadcast at most.
+FEW_NAMES = 1000
 
 
 def question_words(question: Column) -> Column:
@@ -45,10 +47,12 @@ def best(nodes: DataFrame, question: Column, n: int = 20) -> DataFrame:
 def fuzzy_paths(names: DataFrame, nodes: DataFrame) -> DataFrame:
     """(name, path): a known name as it is, else the first path in map order that contains it or is contained in it.
 
-    ``names`` is the router's short list for a question, a handful of rows by
-    contract; it is limited to that before it is broadcast.
+    ``names`` is usually the router's short list for a question; it is broadcast
+    only if a count shows that it is short, and met in blocks of both sides if not.
     """
-    few = F.broadcast(names.select("name").distinct().limit(1000))
+    few = names.select("name").distinct()
+    if few.limit(FEW_NAMES + 1).count() <= FEW_NAMES:
+        few = F.broadcast(few)
     either = F.contains(F.col("path"), F.col("name")) | F.contains(F.col("name"), F.col("path"))
     order = F.struct((F.col("path") != F.col("name")).alias("inexact"), "node_ord")
     return nodes.select("path", "node_ord").join(few, either).groupBy("name").agg(F.min_by("path", order).alias("path"))

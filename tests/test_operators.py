@@ -127,3 +127,12 @@ def test_streaming_index(spark, tmp_path):
     keep_indexed(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out" / "generation=0")).collect()
     assert [(r["path"], r["version"]) for r in got] == [("a.txt", 2)]
+
+
+def test_fuzzy_paths_takes_all_names(spark):
+    from quarrymap.operators import score
+
+    nodes = spark.createDataFrame([(f"src/f{i:04}.py", i) for i in range(1500)], "path string, node_ord long")
+    names = spark.createDataFrame([(f"f{i:04}.py",) for i in range(1500)], "name string")
+    got = {(r["name"], r["path"]) for r in score.fuzzy_paths(names, nodes).collect()}
+    assert got == {(f"f{i:04}.py", f"src/f{i:04}.py") for i in range(1500)}
