@@ -3,14 +3,15 @@
 One pass turns every text into a fixed set of statistics (staged: a few dozen
 numbers a document). Random Fourier features of the standardised statistics
 approximate a Gaussian kernel; every partition adds up its part of the normal
-equations, the parts are summed per row of the matrix, and one small system is
-solved. A histogram of the raw scores, again summed over all labelled rows,
-gives the isotonic fit. All usable labels count: nothing is sampled, and what
-reaches the driver has a fixed size.
+equations where its rows lie, the parts are summed per row of the matrix, and
+one small system is solved. A histogram of the raw scores, again summed over all
+labelled rows, gives the isotonic fit. All usable labels count: nothing is
+sampled, and what reaches the driver has a fixed size.
 
 Defined results: a null or empty text has the statistics of no words and is
-scored like any other; repeated rows are scored each; with no usable labels, or
-labels of one kind only, every score is the share of label 1 (1 if there are none).
+scored like any other; repeated rows are scored each, and each counts in the fit;
+with no usable labels, or labels of one kind only, every score is the share of
+label 1 (1 if there are none); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, held_out, labelled, map_columns, stage
+from .common import byte_texts, column_of, held_out, labelled, map_columns, release, stage
 
 
 @dataclass(frozen=True)
@@ -33,8 +34,8 @@ class QualityParams:
     features: int = 256
     bandwidth: float = 4.0
     ridge: float = 1e-2
-    #: Tasks that sum parts of the normal equations; bounds what is shuffled.
-    partial_sums: int = 64
+    #: Parts of a matrix row that are summed together first, by this many groups of partitions.
+    groups: int = 64
     bins: int = 1000
     threshold: float = 0.5
     seed: int = 11
@@ -88,11 +89,9 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
-def with_statistics(documents: DataFrame, keep: list[str]) -> DataFrame:
-    def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        return {"stats": pa.array([statistics(t) for t in byte_texts(batch.column("text"))], pa.list_(pa.float64()))}
-
-    return map_columns(documents, run, keep, "stats array<double>")
+#: A column of statistics of a text column, and of scores of a column of statistics.
+STATS = "__quarrymap_statistics"
+statistics_of = column_of(lambda texts: pa.array([statistics(t) for t in byte_texts(texts)], pa.list_(pa.float64())), "array<double>")
 
 
 @dataclass
@@ -153,10 +152,15 @@ def fit(rows: DataFrame, p: QualityParams = QualityParams()) -> QualityModel:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, right = np.zeros((size, size)), np.zeros(size)
+        seen = 0
         for batch in batches:
             x = model.features(_matrix(batch.column("stats"), width))
             gram += x.T @ x
             right += x.T @ np.asarray(batch.column("y"), float)
+            seen += len(batch)
+        release()
+        if not seen:
+            return
         # one row of the matrix a record, with its part of the right side at the end
         both = np.hstack([gram, right[:, None]])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), pa.array([b.tobytes() for b in both], pa.binary())], names=["row", "part"])
@@ -165,8 +169,9 @@ def fit(rows: DataFrame, p: QualityParams = QualityParams()) -> QualityModel:
         total = sum(np.frombuffer(b, float) for b in group.column("part").to_pylist())
         return pa.table({"row": group.column("row").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
 
-    parts = rows.select("stats", "y").repartition(p.partial_sums).mapInArrow(partial, "row int, part binary")
-    system = parts.groupBy("row").applyInArrow(added, "row int, part binary").orderBy("row").toArrow()
+    parts = rows.select("stats", "y").mapInArrow(partial, "row int, part binary")
+    some = parts.groupBy("row", F.pmod(F.spark_partition_id(), F.lit(p.groups))).applyInArrow(lambda _, g: added(g), "row int, part binary")
+    system = some.groupBy("row").applyInArrow(added, "row int, part binary").orderBy("row").toArrow()
     both = np.stack([np.frombuffer(b, float) for b in system.column("part").to_pylist()])
     penalty = p.ridge * n / size * np.eye(size)
     penalty[-1, -1] = 0
@@ -187,21 +192,22 @@ def fit(rows: DataFrame, p: QualityParams = QualityParams()) -> QualityModel:
     return model
 
 
-def _scored(documents: DataFrame, labels: DataFrame, keep: list[str], p: QualityParams) -> DataFrame:
-    staged = stage(with_statistics(documents, [*keep, "doc_id"] if "doc_id" not in keep else keep), "quality-statistics")
-    rows = staged.select("doc_id", "stats").join(labelled(labels, "quality"), "doc_id").select("stats", "y")
-    model = fit(rows, p)
-    width = len(STATISTICS)
+def _fitted(staged: DataFrame, labels: DataFrame, p: QualityParams) -> QualityModel:
+    """The model of all labelled rows of (doc_id, statistics, ...)."""
+    stats = staged.select("doc_id", F.col(STATS).alias("stats"))
+    return fit(stage(stats.join(labelled(labels, "quality"), "doc_id").select("stats", "y"), "quality-labelled"), p)
 
-    def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        return {"score": pa.array(model.score(_matrix(batch.column("stats"), width)), pa.float64())}
 
-    return map_columns(staged, run, keep, "score double")
+def _scores(model: QualityModel):
+    width = len(STATISTICS)
+    return column_of(lambda stats: pa.array(model.score(_matrix(stats, width)), pa.float64()), "double")
 
 
 def quality(documents: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    return _scored(documents.select("doc_id", "text"), labels, ["doc_id"], p).select(
+    staged = stage(documents.select("doc_id", statistics_of("text").alias(STATS)), "quality-statistics")
+    scored = staged.select("doc_id", _scores(_fitted(staged, labels, p))(STATS).alias("score"))
+    return scored.select(
         "doc_id",
         F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
         "score",
@@ -210,6 +216,6 @@ def quality(documents: DataFrame, labels: DataFrame, p: QualityParams = QualityP
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
-    """The documents, columns as they were, without those predicted bad."""
-    rows = documents.select("doc_id", "text", F.struct(*[documents[c] for c in documents.columns]).alias("kept_row"))
-    return _scored(rows, labels, ["kept_row"], p).where(F.col("score") >= p.threshold).select("kept_row.*")
+    """The documents, columns as they were, without those predicted bad: only texts, then statistics, go to Python."""
+    staged = stage(documents.withColumn(STATS, statistics_of("text")), "quality-statistics")
+    return staged.where(_scores(_fitted(staged, labels, p))(STATS) >= p.threshold).drop(STATS)
