@@ -4,12 +4,20 @@ A word is the bag of its hashed character n-grams (and itself); its vector is
 their mean, a text's vector the mean of its words' vectors, and two softmax
 weights sit on top. Vectors and weights are trained jointly in numpy, so a
 misspelling that was never seen still shares most of its vectors with the word
-it comes from. The softmax is linear, so after training every word is one
-number and scoring a text is a sum over its words: one pass, no shuffle.
+it comes from. Every bucket has a vector, however rare it is: steps are scaled
+by what a bucket has seen, and a small pull to zero (``l1``, on whole vectors)
+leaves those that say nothing at zero. The softmax is linear, so after training
+every word is one number and scoring a text is a sum over its words: one pass,
+no shuffle.
+
+Only the sample that is learnt from is bounded (``max_train_docs`` labelled
+documents). Executors turn its texts into averaged bags, at most ``buckets``
+numbers each, so what reaches the driver has a bound, however long a text is.
 
 Defined results: a null or empty text, or one without words, has the score of
-the bias alone; repeated rows are scored each; with no usable labels every
-score is the prior 0.
+the bias alone; repeated rows are scored each, and of the texts of one doc_id the
+least counts in training; with no usable labels every score is the prior 0; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,25 +32,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, held_out, labelled, map_columns
+from .common import byte_texts, column_of, held_out, labelled, map_columns
 
 
 @dataclass(frozen=True)
 class ToxicityParams:
     #: Labelled documents learnt from at most, half of each label (the documented bound of the sample).
     max_train_docs: int = 4000
-    buckets: int = 1 << 16
+    buckets: int = 1 << 18
     dim: int = 8
-    min_n: int = 3
-    max_n: int = 5
-    epochs: int = 8
+    #: n-grams are of UTF-8 bytes, edge marks included.
+    min_n: int = 4
+    max_n: int = 6
+    #: Batches of so many documents that are learnt from, whatever the sample's size.
+    steps: int = 1000
     batch_docs: int = 64
-    learning_rate: float = 0.03
-    l2: float = 3e-5
-    #: Buckets in a smaller share of the training documents than this stay zero: rare words say nothing.
-    min_share: float = 0.01
-    #: Half way, all but this many buckets of the largest odds are set to zero for good: most words say nothing.
-    live_buckets: int = 600
+    learning_rate: float = 0.5
+    softmax_rate: float = 0.05
+    #: Pull of every vector to zero, for each document that has its bucket.
+    l1: float = 2e-5
     #: The averaged vector is scaled by this, as toxic words are few in a text.
     scale: float = 60.0
     #: Added to a text's number of words in the mean, so that a few words can't say much.
@@ -119,89 +127,90 @@ class ToxicityModel:
         return out
 
 
-def train(vocabulary: list[bytes], bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, prior: float, p: ToxicityParams) -> ToxicityModel:
-    """Fit bucket vectors and softmax weights with Adam on bags of (word numbers, counts).
+def averaged(text: bytes, p: ToxicityParams) -> tuple[np.ndarray, np.ndarray]:
+    """A text as the mean of its words' bags: (buckets, shares), each bucket once."""
+    words, counts = bag(text)
+    if not words:
+        return np.empty(0, np.int32), np.empty(0, np.float32)
+    buckets, owner = subwords(words, p)
+    counts = np.array(counts, float)
+    share = (counts / np.bincount(owner, minlength=len(words)) / (counts.sum() + p.padding))[owner]
+    own, where = np.unique(buckets, return_inverse=True)
+    return own.astype(np.int32), np.bincount(where, share).astype(np.float32)
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, prior: float, p: ToxicityParams) -> ToxicityModel:
+    """Fit bucket vectors and softmax weights on averaged bags (buckets, shares).
 
     ``prior`` is the share of label 1 among all usable labels: the sample is
-    balanced, so the classes are weighted back to it.
+    balanced, so the classes are weighted back to it. The odds after each epoch of
+    the second half are averaged.
     """
     empty = ToxicityModel(np.zeros(p.buckets, np.float32), -60.0, p)
     n = len(bags)
     if n == 0 or not 0 < y.sum() < n:
         return empty if n == 0 or y.sum() == 0 else ToxicityModel(empty.bucket_odds, 60.0, p)
-    buckets, size = [], []
-    for at in range(0, len(vocabulary), 20_000):
-        b, owner = subwords(vocabulary[at : at + 20_000], p)
-        buckets.append(b[np.argsort(owner, kind="stable")].astype(np.int32))
-        size.append(np.bincount(owner))
-    buckets, size = np.concatenate(buckets), np.concatenate(size)
-    start = np.cumsum(size) - size
-
-    def of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(buckets of all the words, subwords of each)."""
-        n_sub = size[words]
-        step = np.arange(n_sub.sum()) - np.repeat(np.cumsum(n_sub) - n_sub, n_sub)
-        return buckets[np.repeat(start[words], n_sub) + step], n_sub
-
-    seen = np.zeros(p.buckets, np.int64)
-    for words, _ in bags:
-        seen[np.unique(of(words)[0])] += 1
-    live = np.flatnonzero(seen >= max(2, p.min_share * n))
-    new = np.full(p.buckets, -1, np.int32)
-    new[live] = np.arange(len(live), dtype=np.int32)
-    cols, weights = [], []
-    for words, counts in bags:
-        own, n_sub = of(words)
-        share = np.repeat(counts / (counts.sum() + p.padding) / np.maximum(1, n_sub), n_sub)
-        keep = new[own] >= 0
-        col, where = np.unique(new[own[keep]], return_inverse=True)
-        cols.append(col)
-        weights.append((np.bincount(where, share[keep], len(col)) * p.scale).astype(np.float32))
+    mark = np.zeros(p.buckets, bool)
+    for own, _ in bags:
+        mark[own] = True
+    live = np.flatnonzero(mark)
+    place = np.zeros(p.buckets, np.int32)
+    place[live] = np.arange(len(live), dtype=np.int32)
+    columns, shares = [place[own] for own, _ in bags], [share * np.float32(p.scale) for _, share in bags]
     rng = np.random.default_rng(p.seed)
-    emb = rng.normal(0, 0.05, (len(live), p.dim)).astype(np.float32)
-    soft, bias = rng.normal(0, 0.5, (p.dim, 2)).astype(np.float32), np.zeros(2, np.float32)
+    soft = rng.normal(0, 1, (p.dim, 2)).astype(np.float32)
+    soft /= np.linalg.norm(soft[:, 1] - soft[:, 0])
+    vectors, bias = np.zeros((len(live), p.dim), np.float32), np.zeros(2, np.float32)
+    seen = np.full(len(live), 1e-8, np.float32)  # squared gradients of each vector so far
     share = y.mean()
     cost = np.where(y == 1, prior / share, (1 - prior) / (1 - share)).astype(np.float32)
-    state = [(np.zeros_like(a), np.zeros_like(a)) for a in (emb, soft, bias)]
-    step = 0
-    for epoch in range(p.epochs):
+    mark, place, odds, level, averaged_over = np.zeros(len(live), bool), np.zeros(len(live), np.int32), np.zeros(len(live)), 0.0, 0
+    room = np.empty(0, np.float32)
+    epochs = -(-p.steps // -(-n // p.batch_docs))
+    for epoch in range(epochs):
         order = rng.permutation(n)
-        if epoch == p.epochs // 2 and len(live) > p.live_buckets:
-            size = np.abs(emb @ (soft[:, 1] - soft[:, 0]))
-            dead = size < np.partition(size, -p.live_buckets)[-p.live_buckets]
-            emb[dead] = 0
-            for i in range(n):
-                keep = ~dead[cols[i]]
-                cols[i], weights[i] = cols[i][keep], weights[i][keep]
         for at in range(0, n, p.batch_docs):
             own = order[at : at + p.batch_docs]
-            used, where = np.unique(np.concatenate([cols[i] for i in own]), return_inverse=True)
-            mean = np.zeros((len(own), len(used)), np.float32)
-            mean[np.repeat(np.arange(len(own)), [len(cols[i]) for i in own]), where] = np.concatenate([weights[i] for i in own])
-            part = emb[used]
-            hidden = mean @ part
-            z = hidden @ soft + bias
-            z -= z.max(1, keepdims=True)
-            prob = np.exp(z)
-            prob /= prob.sum(1, keepdims=True)
-            prob[np.arange(len(own)), y[own]] -= 1
-            prob *= cost[own, None] / len(own)
-            grads = (mean.T @ (prob @ soft.T) + p.l2 * part, hidden.T @ prob + p.l2 * soft, prob.sum(0))
-            step += 1
-            for a, g, (m, v), at_rows in zip((emb, soft, bias), grads, state, (used, slice(None), slice(None))):
-                m[at_rows] = 0.9 * m[at_rows] + 0.1 * g
-                v[at_rows] = 0.999 * v[at_rows] + 0.001 * g * g
-                a[at_rows] -= p.learning_rate * (m[at_rows] / (1 - 0.9**step)) / (np.sqrt(v[at_rows] / (1 - 0.999**step)) + 1e-8)
-    odds = np.zeros(p.buckets, np.float32)
-    odds[live] = p.scale * (emb @ (soft[:, 1] - soft[:, 0]))
-    return ToxicityModel(odds, float(bias[1] - bias[0]), p)
+            every = np.concatenate([columns[i] for i in own])
+            mark[every] = True
+            used = np.flatnonzero(mark)
+            mark[used] = False
+            place[used] = np.arange(len(used), dtype=np.int32)
+            if len(room) < len(own) * len(used):
+                room = np.empty(2 * len(own) * len(used), np.float32)
+            mean = room[: len(own) * len(used)].reshape(len(own), len(used))
+            mean[:] = 0
+            mean[np.repeat(np.arange(len(own)), [len(columns[i]) for i in own]), place[every]] = np.concatenate([shares[i] for i in own])
+            wrong, hidden = slopes(mean, vectors[used], soft, bias, y[own], cost[own])
+            slope = mean.T @ (wrong @ soft.T)
+            seen[used] += (slope * slope).sum(1)
+            step = (p.learning_rate / np.sqrt(seen[used]))[:, None]
+            moved = vectors[used] - step * slope
+            size = np.sqrt((moved * moved).sum(1, keepdims=True))
+            vectors[used] = moved * np.maximum(0, 1 - step * p.l1 * len(own) / np.maximum(size, 1e-12))
+            soft -= p.softmax_rate * (hidden.T @ wrong) / len(own)
+            bias -= 2 * p.softmax_rate * wrong.sum(0) / len(own)
+        if 2 * epoch >= epochs - 1:
+            odds += vectors @ (soft[:, 1] - soft[:, 0])
+            level, averaged_over = level + float(bias[1] - bias[0]), averaged_over + 1
+    out = np.zeros(p.buckets, np.float32)
+    out[live] = p.scale * odds / averaged_over
+    return ToxicityModel(out, level / averaged_over, p)
+
+
+def slopes(mean: np.ndarray, vectors: np.ndarray, soft: np.ndarray, bias: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(slope of the weighted log loss by each text's two outputs, hidden vectors) of texts with bags ``mean``."""
+    hidden = mean @ vectors
+    z = hidden @ soft + bias
+    z -= z.max(1, keepdims=True)
+    wrong = np.exp(z)
+    wrong /= wrong.sum(1, keepdims=True)
+    wrong[np.arange(len(y)), y] -= 1
+    return wrong * cost[:, None], hidden
 
 
 def fit(documents: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    """Train on at most ``max_train_docs`` labelled documents, chosen by a hash of the id.
-
-    Only word bags of that bounded sample reach the driver.
-    """
+    """Train on at most ``max_train_docs`` labelled documents, chosen by a hash of the id."""
     usable = labelled(labels, "toxic")
     count = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
     by_hash = F.xxhash64("doc_id")
@@ -210,27 +219,21 @@ def fit(documents: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityPar
         usable.where("y = 1").orderBy(by_hash, "doc_id").limit(half)
         .union(usable.where("y = 0").orderBy(by_hash, "doc_id").limit(half))
     )
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # at most max_train_docs ids are broadcast; the least text of an id, met before it is moved
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.any_value("y").alias("y"))
 
     def bags(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        made = [bag(t) for t in byte_texts(batch.column("text"))]
-        return {
-            "words": pa.array([[w.decode("utf-8", "replace") for w in b[0]] for b in made], pa.list_(pa.string())),
-            "counts": pa.array([b[1] for b in made], pa.list_(pa.int32())),
-        }
-
-    got = map_columns(texts, bags, ["doc_id", "y"], "words array<string>, counts array<int>").toArrow()
-    vocabulary: dict[str, int] = {}
-    chosen_bags: dict[tuple[bytes, bytes], tuple] = {}  # of repeated rows and of copies one
+        made = [averaged(t, p) for t in byte_texts(batch.column("text"))]
+        return {name: pa.array([b[i].tobytes() for b in made], pa.binary()) for i, name in enumerate(("buckets", "shares"))}
+
+    got = map_columns(texts, bags, ["doc_id", "y"], "buckets binary, shares binary").toArrow()
+    distinct: dict[tuple[bytes, bytes], int] = {}  # of copies one, under the least id
     for i in np.argsort(np.asarray(got.column("doc_id")), kind="stable").tolist():
-        words = got.column("words")[i].as_py()
-        own = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words))
-        counts = np.array(got.column("counts")[i].as_py(), np.int32)
-        chosen_bags.setdefault((own.tobytes(), counts.tobytes()), (own, counts, got.column("y")[i].as_py()))
+        distinct.setdefault((got.column("buckets")[i].as_py(), got.column("shares")[i].as_py()), got.column("y")[i].as_py())
     del got
     total = sum(count.values())
-    y = np.array([b[2] for b in chosen_bags.values()], int)
-    return train([w.encode() for w in vocabulary], [b[:2] for b in chosen_bags.values()], y, count.get(1, 0) / total if total else 0.0, p)
+    own = [(np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for b, s in distinct]
+    return train(own, np.array(list(distinct.values()), int), count.get(1, 0) / total if total else 0.0, p)
 
 
 _CACHED: list = [None, {}]
@@ -243,21 +246,20 @@ def _odds_cache(model: ToxicityModel) -> dict[bytes, float]:
     return _CACHED[1]
 
 
-def score(documents: DataFrame, model: ToxicityModel, keep: list[str]) -> DataFrame:
-    """``keep`` and the score of every row's whole text."""
+def scores_of(documents: DataFrame, model: ToxicityModel):
+    """The column of scores of a text column."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # buckets x 4 bytes, whatever the input
 
-    def run(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+    def scored(texts: pa.Array) -> pa.Array:
         m = shared.value
-        return {"score": pa.array(m.scores(byte_texts(batch.column("text")), _odds_cache(m)), pa.float64())}
+        return pa.array(m.scores(byte_texts(texts), _odds_cache(m)), pa.float64())
 
-    return map_columns(documents, run, keep, "score double", lambda: _odds_cache(shared.value).clear())
+    return column_of(scored, "double", lambda: _odds_cache(shared.value).clear())
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    model = fit(documents, labels, p)
-    scored = score(documents.select("doc_id", "text"), model, ["doc_id"])
+    scored = documents.select("doc_id", scores_of(documents, fit(documents, labels, p))("text").alias("score"))
     return scored.select(
         "doc_id",
         F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
@@ -267,7 +269,5 @@ def toxicity(documents: DataFrame, labels: DataFrame, p: ToxicityParams = Toxici
 
 
 def keep_clean(documents: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> DataFrame:
-    """The documents, columns as they were, without those predicted toxic."""
-    model = fit(documents, labels, p)
-    rows = documents.select("text", F.struct(*[documents[c] for c in documents.columns]).alias("kept_row"))
-    return score(rows, model, ["kept_row"]).where(F.col("score") < p.threshold).select("kept_row.*")
+    """The documents, columns as they were, without those predicted toxic: only texts go to Python."""
+    return documents.where(scores_of(documents, fit(documents, labels, p))("text") < p.threshold)
