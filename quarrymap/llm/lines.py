@@ -1,18 +1,20 @@
 """Quality rules: cross-document line frequency, after base rules on each text.
 
 Lines are normalised (lower case, white space runs to one space) and hashed. A
-host's distinct documents are counted for each line hash, pre-aggregated before
-the shuffle. A line in more than ``max_share`` of its host's documents, and in
-at least ``min_documents`` of them, is boilerplate and removed; a document left
-with less than ``min_left`` of its words, or with fewer than ``min_words``, is
-depleted and rejected. The limits are shares, so they mean the same on any size.
+host's distinct documents (doc_ids) are counted for each line hash. A line that
+more than ``max_share`` of the other documents of its host hold too is
+boilerplate and removed; a document left with less than ``min_left`` of its
+words, or with fewer than ``min_words``, is depleted and rejected. The limit is a
+share of the others, so it means the same for a host of any size, and a line
+that no other document has always stays.
 
 A host's lines above the limit are at most (lines a document) / ``max_share``:
 a small table, joined by Spark's own choice of join.
 
 Defined results: a null or empty text has no words and fails the base rules; a
-null host is a host of its own; every row counts as a document, repeated ones
-too, and is returned.
+null host is a host of its own; rows that repeat a doc_id are one document when
+documents are counted (a row without an id is one by itself), and each is
+returned with its own verdict; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +37,6 @@ class LineRules:
     max_repeat_percent: int = 20
     window: int = 5
     max_share: float = 0.10
-    min_documents: int = 20
     min_left: float = 0.30
 
 
@@ -92,12 +93,13 @@ def quality_rules(documents: DataFrame, host: str = "source", rules: LineRules =
     texts = documents.select("doc_id", F.col(host).alias("host"), "text")
     staged = stage(map_columns(texts, run, ["doc_id", "host"], schema).withColumn("row", F.monotonically_increasing_id()), "line-rules", compression="zstd")
 
-    hosts = staged.groupBy("host").agg(F.count("*").alias("documents"))
-    each = staged.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-    # a row has each of its lines once, so rows are documents
-    frequent = each.groupBy("host", "line").agg(F.count("*").alias("held")).where(F.col("held") >= rules.min_documents)
-    frequent = frequent.join(hosts, frequent["host"].eqNullSafe(hosts["host"])).where(F.col("held") > rules.max_share * F.col("documents")).select(frequent["host"].alias("f_host"), F.col("line").alias("f_line"))
-    removed = each.join(frequent, each["host"].eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line"))).groupBy("row").agg(F.sum("words").alias("removed"))
+    held = (F.count_distinct("doc_id") + F.count_if(F.col("doc_id").isNull())).alias("held")
+    each = staged.select("row", "doc_id", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "doc_id", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
+    hosts = staged.groupBy(F.col("host").alias("h_host")).agg(held.alias("documents"))
+    others = F.col("held") - 1
+    frequent = each.groupBy("host", "line").agg(held).where(others > 0)
+    frequent = frequent.join(hosts, F.col("host").eqNullSafe(F.col("h_host"))).where(others > rules.max_share * (F.col("documents") - 1)).select(F.col("host").alias("f_host"), F.col("line").alias("f_line"))
+    removed = each.join(frequent, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line") == F.col("f_line"))).groupBy("row").agg(F.sum("words").alias("removed"))
     left = F.col("n_words") - F.col("removed_words")
     base_failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     return (
@@ -106,5 +108,5 @@ def quality_rules(documents: DataFrame, host: str = "source", rules: LineRules =
         .withColumn("removed_words", F.coalesce("removed", F.lit(0)))
         .withColumn("base_failed", base_failed)
         .withColumn("kept", ~F.col("base_failed") & (left >= rules.min_words) & (left >= rules.min_left * F.col("n_words")))
-        .select("doc_id", *_COUNTS, "removed_words", "base_failed", "kept")
+        .select("doc_id", *_COUNTS, "base_failed", "kept", "removed_words")
     )
