@@ -9,8 +9,11 @@ continued in the next sequence by a boundary record (``start`` > 0).
 
 All sequences but the last hold exactly ``window`` tokens.
 
+What reaches the driver is one number for each input partition.
+
 Defined results: a null or empty text is the end token alone; repeated rows are
-packed each; an empty table gives no rows.
+packed each; an empty table gives no rows; columns other than doc_id and text
+are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS, release, stage
+from .common import release, sliced, stage
 from .tokens import tokenizer_file, word_bpe
 
 WINDOW, END_ID = 2048, 1
@@ -37,14 +40,12 @@ def tokenized(documents: DataFrame, file: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, so_far = word_bpe(file), 0
         try:
-            for batch in batches:
-                texts = batch.column("text")
-                for at in range(0, len(batch), ROWS):
-                    ids = [bpe.encode(t or "") + end for t in texts.slice(at, ROWS).to_pylist()]
-                    n = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
-                    first = so_far + np.cumsum(n) - n
-                    so_far += int(n.sum())
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, ROWS), pa.array(ids, pa.binary()), pa.array(n), pa.array(first)], names=["doc_id", "ids", "tokens", "first"])
+            for batch in sliced(batches):
+                ids = [bpe.encode(t or "") + end for t in batch.column("text").to_pylist()]
+                n = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+                first = so_far + np.cumsum(n) - n
+                so_far += int(n.sum())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(n), pa.array(first)], names=["doc_id", "ids", "tokens", "first"])
         finally:
             bpe.cache.clear()
             release()
@@ -62,7 +63,7 @@ def pack(documents: DataFrame, window: int = WINDOW, end_id: int = END_ID, file:
     shared = documents.sparkSession.sparkContext.broadcast(base)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             doc, start, length, crc, total, seq, off, part = out = [[] for _ in range(8)]
             for d, raw, n, first, place in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "tokens", "first", "place"))):
                 at, wide = shared.value[place] + first, np.frombuffer(raw, "<u2").astype("<u4").tobytes()
@@ -75,5 +76,6 @@ def pack(documents: DataFrame, window: int = WINDOW, end_id: int = END_ID, file:
                     part.append(raw[2 * done : 2 * (done + size)])
                     done += size
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out[:7]] + [pa.array(part, pa.binary())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+        release()
 
     return staged.mapInArrow(cut, _PIECES)

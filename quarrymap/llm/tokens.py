@@ -20,6 +20,8 @@ import tiktoken
 #: Characters for which lower-casing and normal forms are one to one: ASCII, and Latin-1 letters and signs.
 _PLAIN = re.compile("[\t\n\r -~¡-¬®-ÿ]*")
 _SEPARATOR = "\x02"
+#: Ids are kept in 16 bits, with one value for the mark between words.
+_MOST_IDS = 0xFFFF
 #: The encoder searches for its special tokens at every position if it has none.
 _NEVER = "\x03"
 
@@ -72,6 +74,8 @@ class WordBpe:
         self.library = Tokenizer.from_file(file)
         with open(file) as f:
             model = json.load(f)["model"]
+        if max(model["vocab"].values(), default=0) >= _MOST_IDS:
+            raise ValueError(f"{file} has ids beyond 16 bits")
         vocab, chars = model["vocab"], _byte_of_char()
 
         def raw(token: str) -> bytes:
@@ -95,7 +99,7 @@ class WordBpe:
         for pair in model["merges"]:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             add(raw(a) + raw(b), vocab[a + b])
-        self.mark = 0xFFFF
+        self.mark = _MOST_IDS
         ids[ord(_SEPARATOR)] = self.mark
         self.ids = np.array(ids, np.uint32)
         self.encoder = tiktoken.Encoding("word-bpe", pat_str="[^\x01\x02]+\x01|\x02", mergeable_ranks=ranks, special_tokens={_NEVER: len(ids)})._core_bpe
@@ -123,6 +127,8 @@ class PieceBpe:
 
         self.library = lib = sentencepiece.SentencePieceProcessor(model_file=file)
         size = lib.vocab_size()
+        if size > _MOST_IDS:
+            raise ValueError(f"{file} has ids beyond 16 bits")
         pieces = [lib.id_to_piece(i) for i in range(size)]
         self.byte_id = {int(p[3:5], 16): i for i, p in enumerate(pieces) if lib.is_byte(i)}
         normal = [i for i in range(size) if not (lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i))]
@@ -140,7 +146,7 @@ class PieceBpe:
             if self.raw[i] not in ranks:
                 ranks[self.raw[i]] = len(ids)
                 ids.append(i)
-        self.mark = 0xFFFF
+        self.mark = _MOST_IDS
         ids[ord(_SEPARATOR)] = self.mark
         self.ids = np.array(ids, np.uint32)
         self.encoder = tiktoken.Encoding("piece-bpe", pat_str="[^\x02]+|\x02", mergeable_ranks=ranks, special_tokens={_NEVER: len(ids)})._core_bpe
