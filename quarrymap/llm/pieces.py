@@ -9,30 +9,35 @@ that reaches up to or over it and the number of characters it goes beyond. Each
 chunk yields, on its own, the transfer matrix from entry states to exit states;
 matrices combine associatively under (max, +); the scan fixes one state at each
 border; and each chunk backtraces its pieces between its two states, on its
-own. At the start of a word all states of a chunk meet (no piece crosses it), so
-only the broken words at the chunk's ends need the states.
+own. The scan has two levels: ``SEGMENT`` chunks are combined to one matrix, the
+segments of a text give the states at their borders, and each segment is scanned
+between its own, so no task has more than a segment's matrices or a text's
+segments. At the start of a word all states of a chunk meet (no piece crosses
+it), so only the broken words at the chunk's ends need the states.
 
 Texts up to ``chunk`` characters are one chunk with one state at either end, and
 are encoded directly.
 
 Defined results: a null or empty text has one row with no ids; repeated rows are
-encoded each; ids and texts equal the reference library's.
+encoded each; ids and texts equal the public library's; an empty table gives no
+rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, stage
+from .common import forget, map_columns, release, sliced, stage
 from .tokens import PieceBpe, piece_bpe, tokenizer_file
 
-CHUNK, AROUND = 16384, 64
+CHUNK, AROUND, SEGMENT = 16384, 64, 256
 #: A border state: the piece's text and how far it goes over the border. The start of a word is ("", 0).
 State = tuple[str, int]
 FREE: State = ("", 0)
@@ -215,8 +220,8 @@ def combined(a: dict, b: dict) -> dict:
     return out
 
 
-def border_states(matrices: list[dict]) -> list[State]:
-    """The state at every border of a text, its start and end included: a scan of products from either side."""
+def border_states(matrices: list[dict], entry: State = FREE, leave: State = FREE) -> list[State]:
+    """The state at every border of a stretch of chunks from ``entry`` to ``leave``: a scan of products from either side."""
     n = len(matrices)
 
     def scan(ms: list[dict]) -> list[dict]:  # prefixes, by halves
@@ -226,13 +231,13 @@ def border_states(matrices: list[dict]) -> list[State]:
         left, right = scan(ms[:half]), scan(ms[half:])
         return left + [combined(left[-1], r) for r in right]
 
-    before = [{(FREE, FREE): 0.0}, *scan(matrices)]
+    before = [{(entry, entry): 0.0}, *scan(matrices)]
     flipped = [{(x, e): w for (e, x), w in m.items()} for m in reversed(matrices)]
-    after = [*reversed(scan(flipped)), {(FREE, FREE): 0.0}]
+    after = [*reversed(scan(flipped)), {(leave, leave): 0.0}]
     out = []
     for i in range(n + 1):
-        reached = {x for _, x in before[i]}
-        alive = {x for _, x in after[i]}
+        reached = {x for e, x in before[i] if e == entry}
+        alive = {x for e, x in after[i] if e == leave}
         out.append(next(iter(sorted(reached & alive))))
     return out
 
@@ -244,7 +249,7 @@ _PART = "row bigint, chunk int, chunks int, text string, begin int, finish int"
 
 def _split(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
     """A giant text in chunks, each with what stands around it; the text starts with the encoder's own space."""
-    for batch in batches:
+    for batch in sliced(batches, 8):
         for row, doc, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text"))):
             text = " " + text.replace("▁", " ")
             n = -(-len(text) // chunk)
@@ -256,6 +261,7 @@ def _split(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordB
                     [pa.array([row], pa.int64()), pa.array([doc], pa.int64()), pa.array([i], pa.int32()), pa.array([n], pa.int32()), pa.array([part]), pa.array([begin], pa.int32()), pa.array([end], pa.int32())],
                     names=["row", "doc_id", "chunk", "chunks", "text", "begin", "finish"],
                 )
+    release()
 
 
 def _paths(seg: Segmenter, r: dict) -> ChunkPaths:
@@ -266,6 +272,24 @@ _STATE = pa.struct([("piece", pa.string()), ("over", pa.int32())])
 _STATES = "struct<piece: string, over: int>"
 
 
+def _states(states: list[State]) -> pa.Array:
+    return pa.array([{"piece": p, "over": o} for p, o in states], _STATE)
+
+
+def _state(cell: dict) -> State:
+    return cell["piece"], cell["over"]
+
+
+def _cells(matrices: list[dict]) -> pa.Array:
+    """Matrices as the cells that aren't minus infinity (all of them are 0)."""
+    cell = lambda s: {"piece": s[0], "over": s[1]}
+    return pa.array([[{"e": cell(e), "x": cell(x)} for e, x in m] for m in matrices], pa.list_(pa.struct([("e", _STATE), ("x", _STATE)])))
+
+
+def _matrix(row: dict) -> dict:
+    return {(_state(c["e"]), _state(c["x"])): 0.0 for c in row["matrix"]}
+
+
 def _giant(giant: DataFrame, chunk: int, file: str) -> DataFrame:
     spark = giant.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -274,20 +298,31 @@ def _giant(giant: DataFrame, chunk: int, file: str) -> DataFrame:
 
     def matrices(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         seg = Segmenter(piece_bpe(file))
-        made = [_paths(seg, r).matrix() for r in batch.to_pylist()]
-        cell = lambda e, x: {"e": {"piece": e[0], "over": e[1]}, "x": {"piece": x[0], "over": x[1]}}
-        return {"matrix": pa.array([[cell(e, x) for e, x in m] for m in made], pa.list_(pa.struct([("e", _STATE), ("x", _STATE)])))}
-
-    def scanned(group: pa.Table) -> pa.Table:
-        rows = sorted(group.select(["row", "chunk", "matrix"]).to_pylist(), key=lambda r: r["chunk"])
-        state = lambda s: (s["piece"], s["over"])
-        states = border_states([{(state(c["e"]), state(c["x"])): 0.0 for c in r["matrix"]} for r in rows])
-        as_struct = lambda own: pa.array([{"piece": p, "over": o} for p, o in own], _STATE)
-        return pa.table({"s_row": pa.array([r["row"] for r in rows], pa.int64()), "s_chunk": pa.array([r["chunk"] for r in rows], pa.int32()), "entry": as_struct(states[:-1]), "leave": as_struct(states[1:])})
-
-    with_matrix = map_columns(parts, matrices, ["row", "chunk", "chunks", "text", "begin", "finish"], f"matrix array<struct<e: {_STATES}, x: {_STATES}>>").select("row", "chunk", "matrix")
+        return {"matrix": _cells([_paths(seg, r).matrix() for r in batch.to_pylist()])}
+
+    def product(group: pa.Table) -> pa.Table:
+        rows = sorted(group.select(["row", "segment", "chunk", "matrix"]).to_pylist(), key=lambda r: r["chunk"])
+        return pa.table({"p_row": pa.array([rows[0]["row"]], pa.int64()), "p_segment": pa.array([rows[0]["segment"]], pa.int32()), "matrix": _cells([reduce(combined, map(_matrix, rows))])})
+
+    def outer(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: r["p_segment"])
+        states = border_states([_matrix(r) for r in rows])
+        return pa.table({"o_row": pa.array([r["p_row"] for r in rows], pa.int64()), "o_segment": pa.array([r["p_segment"] for r in rows], pa.int32()), "first": _states(states[:-1]), "last": _states(states[1:])})
+
+    def inner(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: r["chunk"])
+        states = border_states([_matrix(r) for r in rows], _state(rows[0]["first"]), _state(rows[0]["last"]))
+        return pa.table({"s_row": pa.array([r["row"] for r in rows], pa.int64()), "s_chunk": pa.array([r["chunk"] for r in rows], pa.int32()), "entry": _states(states[:-1]), "leave": _states(states[1:])})
+
     # a text's matrices are a few states a chunk
-    states = with_matrix.groupBy("row").applyInArrow(scanned, f"s_row bigint, s_chunk int, entry {_STATES}, leave {_STATES}")
+    cells = f"matrix array<struct<e: {_STATES}, x: {_STATES}>>"
+    own = map_columns(parts, matrices, ["row", "chunk", "chunks", "text", "begin", "finish"], cells)
+    own = stage(own.select("row", F.floor(F.col("chunk") / SEGMENT).cast("int").alias("segment"), "chunk", "matrix"), "matrices")
+    whole = own.groupBy("row", "segment").applyInArrow(product, f"p_row bigint, p_segment int, {cells}")
+    borders = whole.groupBy("p_row").applyInArrow(outer, f"o_row bigint, o_segment int, first {_STATES}, last {_STATES}")
+    between = own.join(borders, (F.col("row") == F.col("o_row")) & (F.col("segment") == F.col("o_segment"))).drop("o_row", "o_segment")
+    states = stage(between.groupBy("row", "segment").applyInArrow(inner, f"s_row bigint, s_chunk int, entry {_STATES}, leave {_STATES}"), "states")
+    forget(own)
     met = parts.join(states, (F.col("row") == F.col("s_row")) & (F.col("chunk") == F.col("s_chunk")))
 
     def traced(batch: pa.RecordBatch) -> dict[str, pa.Array]:
