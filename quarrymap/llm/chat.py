@@ -6,7 +6,9 @@ with its number of turns, so it rolls by addition and can be summed in blocks: a
 conversation of any length is never gathered in one task. A conversation whose
 hash is a proper prefix hash of another's is a snapshot of it and goes by an
 anti-join; of equal conversations the smallest conv_id stays. What stays is
-rendered block by block, ``block`` turn numbers to a segment.
+rendered block by block, ``block`` turn numbers to a segment. Markup that stands
+in a text gets a backslash after its first character (one more if it has some), so
+a text can't open or close a turn and can be read back; a role is one line.
 
 Defined results: rows without a conv_id or turn belong to no conversation; null
 roles and texts are empty; a repeated row counts once; two rows of one turn that
@@ -15,11 +17,17 @@ differ are both kept, by role and text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The public chat markup.
+#: The public chat markup, and what looks like it in a text.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+MARKUP = r"<(\\*\|im_(?:start|end)\|>)"
+
+
+def plain(text: Column) -> Column:
+    """A text that holds no markup."""
+    return F.regexp_replace(text, MARKUP, r"<\\$1")
 
 
 def _turns(conversations: DataFrame, block: int) -> DataFrame:
@@ -68,7 +76,7 @@ def render(conversations: DataFrame, block: int = 256) -> DataFrame:
     turns = _turns(conversations, block)
     kept = maximal(turns)
     ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    one = lambda t: F.concat(F.lit(OPEN), t["role"], F.lit("\n"), t["text"], F.lit(CLOSE + "\n"))
+    one = lambda t: F.concat(F.lit(OPEN), plain(F.translate(t["role"], "\r\n", "  ")), F.lit("\n"), plain(t["text"]), F.lit(CLOSE + "\n"))
     return (
         turns.join(kept, "conv_id")
         .groupBy("conv_id", "block", "total_turns")
