@@ -1,198 +1,345 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Vectors become integers, floor(1024 x) of each component. All vectors are
-range-partitioned by falling length (ties by id) and packed into buckets, so a
-bucket holds vectors of nearly one length, and equal vectors in any number are
-spread over as many buckets as they fill. Queries are packed in blocks. A first
-pass over one bucket, the longest, gives each query a score that its k-th best
-can't fall below. A bucket then needs a block only if the longest query times
-the bucket's longest vector reaches the least of these. In the bucket each query
-has a local cosine threshold t = floor / (|q| max|p|): above 1 the bucket is
-skipped; below ``coordinate_from`` only vectors shorter than floor / |q| are cut
-(length pruning); else vectors whose unit coordinates lie outside what cosine t
-allows on the query's largest coordinates (coordinate pruning). What is left is
-verified with exact products.
+Vectors stand for integers, floor(1024 x) of each component. All vectors are
+range-partitioned by falling length and packed into buckets, so a bucket holds
+vectors of nearly one length, and equal vectors in any number fill as many
+buckets as they need. Buckets stay where they lie. Queries go to them in blocks
+of at most ``QUERY_BYTES``, one block after the other, each sent to all tasks;
+nothing but results above a query's floor is shuffled.
+
+A block meets the buckets in waves, longest vectors first, each wave ``STEP``
+times the one before. After a wave the k-th best of each query so far is its
+floor (score and id), so a later wave returns about ``STEP`` times k rows a
+query, whatever the number of vectors. In a bucket each query has a local cosine
+threshold t = floor / (|q| max|p|): above 1 the bucket is skipped; below
+``coordinate_from`` only vectors shorter than floor / |q| are cut (length
+pruning), and what is left is multiplied for many queries at once; else vectors
+whose unit coordinates lie outside what cosine t allows on the query's largest
+coordinates go too (coordinate pruning). Products are verified as integers of
+any size.
 
 Defined results: null vectors, and vectors with a null or non-finite component,
-are neither queries nor candidates; so is an empty vector and a null id.
-Components beyond +-2**31 after scaling count as that; scores that a 64-bit
-number can't hold count as its largest or smallest. Vectors of different widths
-have no product and never meet. A repeated row is a candidate by each of its
-rows; of repeated query rows each distinct vector is asked once, and an own id
-never answers. Fewer candidates than k: all of them.
+are neither queries nor candidates; so is an empty vector and a null id. Vectors
+of different widths have no product and never meet. A repeated row is a candidate
+by each of its rows; the distinct vectors of a repeated query id are asked
+together, and an own id never answers. Fewer candidates than k: all of them.
+Scores of any size are ranked as they are; one that a 64-bit number can't hold
+is shown as the nearest that it can.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import forget, named, release, stage
 
-SCALE, BUCKET, BLOCK = 1024, 4096, 512
-_LIMIT = (1 << 31) - 1
+SCALE, BUCKET, BUCKET_BYTES, QUERY_BYTES, STEP = 1024, 4096, 8 << 20, 32 << 20, 16
+#: Buckets that a task holds one after the other, where there are enough for all tasks.
+BUCKETS_A_TASK = 16
 #: Slack on floating-point bounds, far above their rounding.
 _SLACK = 1e-9
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
-def scaled(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v: integers, width, norm) of the vectors that take part."""
-    x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
-    usable = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    grid = F.transform(x, lambda c: F.greatest(F.lit(float(-_LIMIT)), F.least(F.lit(float(_LIMIT)), F.floor(F.greatest(F.lit(-1e15), F.least(F.lit(1e15), c)) * SCALE).cast("double"))).cast("int"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")))
-    return vectors.where(usable).select(F.col(id_col).cast("long").alias("vec_id"), grid.alias("v")).withColumn("width", F.size("v")).withColumn("norm", norm)
+def usable(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column) -> DataFrame:
+    """(vec_id, x, asked, width, norm) of the vectors that take part."""
+    x = named(vector_col)
+    ok = named(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
+    kind = vectors.schema[vector_col].dataType.elementType.typeName()
+    x = x if kind in ("float", "double") else x.cast("array<double>")
+    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")))
+    rows = vectors.where(ok).select(named(id_col).cast("long").alias("vec_id"), x.alias("x"), F.coalesce(is_query, F.lit(False)).alias("asked"))
+    return rows.withColumn("width", F.size("x")).withColumn("norm", norm)
 
 
-_PACKED = "width int, n int, longest double, shortest double, ids binary, matrix binary"
+_PACKED = "width int, n int, wide boolean, ids binary, matrix binary"
 
 
-def packed(rows: DataFrame, size: int) -> DataFrame:
-    """Rows in the order of their partition, ``size`` of one width to a record."""
+def packed(rows: DataFrame, size: int, most_bytes: int) -> DataFrame:
+    """Rows in the order of their partition, of one width to a record: ``size`` of them, or what ``most_bytes`` hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
 
         def out(width: int) -> pa.RecordBatch:
-            ids, v, norm = (np.concatenate(x) for x in zip(*held.pop(width)))
+            ids, x = (np.concatenate(part) for part in zip(*held.pop(width)))
+            wide = x.dtype == np.float64
             return pa.RecordBatch.from_arrays(
-                [pa.array([width], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([norm.max()]), pa.array([norm.min()]), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([v.astype("<i4").tobytes()], pa.binary())],
-                names=["width", "n", "longest", "shortest", "ids", "matrix"],
+                [pa.array([width], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([wide]), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([x.astype("<f8" if wide else "<f4").tobytes()], pa.binary())],
+                names=["width", "n", "wide", "ids", "matrix"],
             )
 
         for batch in batches:
-            for at in range(0, len(batch), size):
-                part = batch.slice(at, size)
-                widths = np.asarray(part.column("width"))
-                for width in np.unique(widths).tolist():
-                    own = pa.array(widths == width)
-                    few = part.filter(own)
-                    now = (np.asarray(few.column("vec_id")), np.asarray(few.column("v").flatten()).reshape(-1, width), np.asarray(few.column("norm")))
+            widths = np.asarray(batch.column("width"))
+            for width in np.unique(widths).tolist():
+                most = max(1, min(size, most_bytes // (8 * width)))
+                own = batch.filter(pa.array(widths == width))
+                ids, x = np.asarray(own.column("vec_id")), np.asarray(own.column("x").flatten()).reshape(-1, width)
+                at = 0
+                while at < len(ids):
                     had = held.setdefault(width, [])
-                    if had and sum(len(x[0]) for x in had) + len(now[0]) > size:
+                    room = most - sum(len(part[0]) for part in had)
+                    had.append((ids[at : at + room], x[at : at + room]))
+                    at += room
+                    if sum(len(part[0]) for part in had) == most:
                         yield out(width)
-                        had = held.setdefault(width, [])
-                    had.append(now)
         for width in list(held):
             yield out(width)
+        release()
+
+    return rows.select("vec_id", "x", "width").mapInArrow(run, _PACKED)
+
+
+def matrix_of(width: int, wide: bool, matrix: bytes) -> np.ndarray:
+    return np.frombuffer(matrix, "<f8" if wide else "<f4").reshape(-1, width).astype(np.float64)
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """floor(1024 x) in float64: exact but for what overflows."""
+    with np.errstate(over="ignore"):
+        return np.floor(x * SCALE)
+
+
+def _integer(x: float) -> int:
+    """floor(1024 x), exactly."""
+    top, bottom = x.as_integer_ratio()
+    return SCALE * top // bottom
+
+
+def exact_product(a: np.ndarray, b: np.ndarray) -> int:
+    """The integer product of two vectors as they are stored."""
+    return sum(_integer(x) * _integer(y) for x, y in zip(a.tolist(), b.tolist()))
 
-    return rows.select("vec_id", "v", "width", "norm").mapInArrow(run, _PACKED)
 
+def _sortable(score: int) -> bytes:
+    """Bytes in the order of the integers."""
+    size = (abs(score).bit_length() + 7) // 8
+    raw = size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return b"\1" + raw if score >= 0 else b"\0" + bytes(255 - c for c in raw)
 
-def exact_products(matrix: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Integer products as 64-bit numbers, at their limits where they don't fit."""
-    bound = float(np.abs(matrix).max(initial=0)) * float(np.abs(query).max(initial=0)) * matrix.shape[1]
-    if bound < 2.0**53:
-        return (matrix.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
-    if bound < 2.0**63:
-        return matrix @ query
-    whole = [sum(a * b for a, b in zip(row, query.tolist())) for row in matrix.tolist()]
-    return np.array([max(-(1 << 63), min((1 << 63) - 1, s)) for s in whole], np.int64)
+
+class Queries:
+    """A block's queries of one width with the floors they have so far."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x, self.q = ids, x, scaled(x)
+        with np.errstate(over="ignore"):
+            self.norm = np.sqrt((self.q**2).sum(1))
+        self.most = np.abs(self.q).max(1, initial=0)
+        self.floor, self.floor_id = np.full(len(ids), -np.inf), np.full(len(ids), _MOST)
+
+    def raise_floors(self, known: dict[int, tuple[int, int, bytes | None]]) -> None:
+        for i, q in enumerate(self.ids.tolist()):
+            if q in known:
+                score, vec_id, big = known[q]
+                # never above the true floor; equal scores are told apart by id only where they are exact
+                low = float(score)
+                exact = low == score and abs(score) < 1 << 53 and big is None
+                self.floor[i] = low if exact else -np.inf if score == _LEAST else np.nextafter(low, -np.inf)
+                self.floor_id[i] = vec_id if exact else _MOST
 
 
 class Bucket:
     """A bucket's vectors, longest first."""
 
-    def __init__(self, width: int, ids: bytes, matrix: bytes):
-        self.ids, self.matrix = np.frombuffer(ids, "<i8"), np.frombuffer(matrix, "<i4").reshape(-1, width).astype(np.int64)
-        norm = np.sqrt((self.matrix.astype(float) ** 2).sum(1))
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        p = scaled(x)
+        with np.errstate(over="ignore"):
+            norm = np.sqrt((p**2).sum(1))
         order = np.argsort(-norm, kind="stable")
-        self.ids, self.matrix, self.norm = self.ids[order], self.matrix[order], norm[order]
-        self.real = self.matrix.astype(float)
-        self.columns = np.ascontiguousarray((self.real / np.maximum(self.norm, 1e-300)[:, None]).T)
-
-    def candidates(self, q: np.ndarray, q_norm: float, floor: float | None, coordinate_from: float, focus: int) -> np.ndarray:
-        """Positions that may reach ``floor``: all of them if there is none."""
-        if floor is None or floor <= 0 or q_norm == 0 or self.norm[0] == 0:
-            return np.arange(len(self.ids)) if floor is None or floor <= 0 else np.empty(0, np.int64)
-        t = floor / (q_norm * self.norm[0])
-        if t > 1 + _SLACK:
-            return np.empty(0, np.int64)
-        # shorter vectors come last: none past this one is long enough
-        live = int(np.searchsorted(-self.norm, -(floor / q_norm) * (1 - _SLACK), side="right"))
-        if t < coordinate_from:
-            return np.arange(live)
-        unit, t = q / q_norm, min(t, 1.0)
+        self.ids, self.x, self.p, self.norm = ids[order], x[order], p[order], norm[order]
+        self.most = float(np.abs(p).max(initial=0))
+        self._columns: dict[int, np.ndarray] = {}
+
+    def column(self, f: int) -> np.ndarray:
+        """Coordinate ``f`` of the unit vectors."""
+        if f not in self._columns:
+            self._columns[f] = self.p[:, f] / np.maximum(self.norm, 1e-300)
+        return self._columns[f]
+
+    def thresholds(self, qs: Queries) -> tuple[np.ndarray, np.ndarray]:
+        """(local cosine thresholds, number of vectors long enough) of every query; no vectors where the bucket is skipped."""
+        top = self.norm[0]
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            bounded = (qs.floor > 0) & np.isfinite(qs.norm) & np.isfinite(top)
+            t = np.where(bounded, qs.floor / (qs.norm * top), 0.0)
+            reach = np.where(bounded, qs.floor / qs.norm, 0.0)
+        t[np.isnan(t)] = np.inf  # a floor above zero that nothing reaches
+        reach[np.isnan(reach)] = np.inf
+        live = np.where(bounded, np.searchsorted(-self.norm, -reach * (1 - _SLACK), side="right"), len(self.ids))
+        return t, np.where(t > 1 + _SLACK, 0, live)
+
+    def within(self, qs: Queries, i: int, t: float, live: int, focus: int) -> np.ndarray:
+        """Positions whose unit coordinates allow cosine ``t`` on the query's largest coordinates."""
+        unit, t = qs.q[i] / qs.norm[i], min(t, 1.0)
         keep = np.ones(live, bool)
-        for f in np.argsort(-np.abs(unit))[:focus]:
+        for f in np.argsort(-np.abs(unit))[:focus].tolist():
             middle, reach = unit[f] * t, np.sqrt(max(0.0, (1 - unit[f] ** 2) * (1 - t * t)))
             # cosines from t to 1 allow the unit coordinate from the lower end to the upper
             low = middle - reach if unit[f] >= -t else -1.0
             high = middle + reach if unit[f] <= t else 1.0
-            column = self.columns[f][:live]
+            column = self.column(f)[:live]
             keep &= (column >= low - _SLACK) & (column <= high + _SLACK)
         return np.flatnonzero(keep)
 
-    def best(self, q_id: int, q: np.ndarray, k: int, floor: float | None, coordinate_from: float, focus: int) -> tuple[np.ndarray, np.ndarray]:
-        """(vec_ids, scores) of the best k in this bucket that reach the floor, own id left out."""
-        q_norm = float(np.sqrt((q.astype(float) ** 2).sum()))
-        at = self.candidates(q, q_norm, floor, coordinate_from, focus)
-        at = at[self.ids[at] != q_id]
-        score = exact_products(self.matrix[at], q)
-        if floor is not None:
-            own = score >= floor
-            at, score = at[own], score[own]
-        if len(at) > 4 * k:
-            edge = np.partition(score, len(score) - k)[len(score) - k]
-            own = score >= edge
-            at, score = at[own], score[own]
-        order = np.lexsort((self.ids[at], -score))[:k]
-        return self.ids[at[order]], score[order]
-
-
-def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", coordinate_from: float = 0.3, focus: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score): the best ``k`` of all other rows for each row where ``is_query`` holds."""
-    spark = vectors.sparkSession
-    rows = stage(scaled(vectors, id_col, vector_col), "vectors")
-    total = rows.count()
-    parts = max(1, -(-total // BUCKET))
-    buckets = stage(packed(rows.repartitionByRange(parts, F.col("width"), F.col("norm").desc(), F.col("vec_id")).sortWithinPartitions("width", F.col("norm").desc(), "vec_id"), BUCKET).withColumn("bucket", F.monotonically_increasing_id()), "buckets")
-    asked = rows.where(is_query).dropDuplicates(["vec_id", "v"])
-    blocks = stage(packed(asked.repartitionByRange(max(1, -(-parts * BUCKET // (100 * BLOCK))), F.col("width"), F.col("norm").desc(), "vec_id"), BLOCK).withColumn("block", F.monotonically_increasing_id()), "queries")
+    def rounding(self, qs: Queries, i: int) -> tuple[bool, float]:
+        """Whether float products with a query are exact, and by how much they can be off if not."""
+        width = self.p.shape[1]
+        with np.errstate(over="ignore"):
+            size = width * self.most * float(qs.most[i])
+        return size < 2.0**53, 0.0 if size < 2.0**53 else size * width * 2.0**-50
 
-    # a floor for every query, from the longest bucket of its width (one bucket a width)
-    longest = buckets.groupBy("width").agg(F.max_by(F.struct("ids", "matrix"), F.struct("longest", -F.col("bucket"))).alias("top"))
+    def chosen(self, qs: Queries, i: int, at: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
+        """(vec_ids, scores, bytes of scores that 64 bits can't hold) of the best k of the positions ``at``, given float products."""
+        exact, slack = self.rounding(qs, i)
+        if slack == np.inf:
+            score, slack = np.full(len(at), np.inf), 0.0  # all are verified
+        keep = (self.ids[at] != qs.ids[i]) & (score >= qs.floor[i] - slack)
+        if exact:
+            keep &= (score > qs.floor[i]) | (self.ids[at] <= qs.floor_id[i])
+        at, score = at[keep], score[keep]
+        if len(at) > k:
+            keep = score >= np.partition(score, len(score) - k)[len(score) - k] - 2 * slack
+            at, score = at[keep], score[keep]
+        if exact:
+            whole = score.astype(np.int64)
+            order = np.lexsort((self.ids[at], ~whole))[:k]
+            return self.ids[at[order]], whole[order], [None] * len(order)
+        found = sorted((-exact_product(self.x[a], qs.x[i]), int(self.ids[a])) for a in at.tolist())[:k]
+        shown = [max(_LEAST, min(_MOST, -s)) for s, _ in found]
+        return np.array([v for _, v in found], np.int64), np.array(shown, np.int64), [_sortable(-s) if v in (_LEAST, _MOST) else None for (s, _), v in zip(found, shown)]
+
+    def best(self, qs: Queries, k: int, coordinate_from: float, focus: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, list]]:
+        """(query's place, vec_ids, scores, bytes) for each query that this bucket may have something for."""
+        t, live = self.thresholds(qs)
+        asked = np.flatnonzero(live > 0)
+        many = asked[t[asked] < coordinate_from]
+        for at in range(0, len(many), 64):
+            own = many[at : at + 64]
+            length = int(live[own].max())
+            with np.errstate(over="ignore", invalid="ignore"):
+                products = self.p[:length] @ qs.q[own].T
+            products[np.isnan(products)] = np.inf
+            for j, i in enumerate(own.tolist()):
+                near = np.flatnonzero(~(products[: live[i], j] < qs.floor[i] - self.rounding(qs, i)[1]))
+                yield i, *self.chosen(qs, i, near, products[near, j], k)
+        for i in asked[t[asked] >= coordinate_from].tolist():
+            near = self.within(qs, i, float(t[i]), int(live[i]), focus)
+            with np.errstate(over="ignore", invalid="ignore"):
+                products = self.p[near] @ qs.q[i]
+            products[np.isnan(products)] = np.inf
+            yield i, *self.chosen(qs, i, near, products, k)
+
+
+_FOUND = "query_id bigint, vec_id bigint, score bigint, big binary"
+
+
+def _meeting(block, k: int, coordinate_from: float, focus: int):
+    """The function that meets a task's buckets with a block of queries (a broadcast of width -> queries)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def reduced() -> None:
+            """Of what is held the best k of each query."""
+            query, ids, score, big = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((ids, ~score, query))
+            if all(b is None for b in big):
+                first = np.concatenate([[True], np.diff(query[order]) != 0])
+                place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+                order = order[place < k]
+            held[:] = [(query[order], ids[order], score[order], big[order])]
 
-    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                b = Bucket(r["width"], r["top"]["ids"], r["top"]["matrix"])
-                q_ids, q = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["matrix"], "<i4").reshape(-1, r["width"]).astype(np.int64)
-                found = [b.best(i, v, k, None, coordinate_from, focus)[1] for i, v in zip(q_ids.tolist(), q)]
-                # float64 below the score, never above; NaN: too few to tell
-                floor = np.array([np.nextafter(float(s[-1]), -np.inf) if len(s) == k else np.nan for s in found])
-                least = None if np.isnan(floor).any() else float(floor.min())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[c]], t) for c, t in (("block", pa.int64()), ("width", pa.int32()), ("longest", pa.float64()), ("ids", pa.binary()), ("matrix", pa.binary()))] + [pa.array([floor.tobytes()], pa.binary()), pa.array([least], pa.float64())],
-                    names=["block", "q_width", "q_longest", "q_ids", "q_matrix", "floors", "least"],
-                )
-
-    few = stage(
-        blocks.join(longest, "width").select("block", "width", "longest", "ids", "matrix", "top").mapInArrow(floors, "block bigint, q_width int, q_longest double, q_ids binary, q_matrix binary, floors binary, least double"), "floors"
-    )
-    # which buckets a block needs: decided on a few numbers a bucket and a block
-    wide = buckets.select("bucket", "width", F.col("longest").alias("b_longest"))
-    needed = few.select("block", "q_width", "q_longest", "least").join(wide, (F.col("q_width") == F.col("width")) & (F.col("least").isNull() | (F.col("least") <= 0) | (F.col("q_longest") * F.col("b_longest") * (1 + _SLACK) >= F.col("least")))).select("block", "bucket")
-    pairs = needed.join(buckets.select("bucket", "width", "ids", "matrix"), "bucket").join(few.select("block", "q_ids", "q_matrix", "floors"), "block")
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(len(batch)):
                 r = batch.slice(at, 1).to_pylist()[0]
-                b, out = Bucket(r["width"], r["ids"], r["matrix"]), []
-                q = np.frombuffer(r["q_matrix"], "<i4").reshape(-1, r["width"]).astype(np.int64)
-                for i, v, floor in zip(np.frombuffer(r["q_ids"], "<i8").tolist(), q, np.frombuffer(r["floors"]).tolist()):
-                    ids, score = b.best(i, v, k, None if np.isnan(floor) else floor, coordinate_from, focus)
-                    out.append((np.full(len(ids), i), ids, score))
-                columns = [pa.array(np.concatenate(x)) for x in zip(*out)]
-                if columns:
-                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
-
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = pairs.repartition(tasks, "block", "bucket").mapInArrow(verified, "query_id bigint, vec_id bigint, score bigint")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                qs = block.value.get(r["width"])
+                if qs is None:
+                    continue
+                bucket = Bucket(np.frombuffer(r["ids"], "<i8"), matrix_of(r["width"], r["wide"], r["matrix"]))
+                for i, ids, score, big in bucket.best(qs, k, coordinate_from, focus):
+                    if len(ids):
+                        held.append((np.full(len(ids), qs.ids[i]), ids, score, np.array(big, object)))
+                if held:
+                    reduced()
+        if held:
+            query, ids, score, big = held[0]
+            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.int64()), pa.array(big.tolist(), pa.binary())], names=["query_id", "vec_id", "score", "big"])
+        release()
+
+    return run
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("big").desc(), F.col("vec_id"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def waves(parts: int) -> list[tuple[int, int]]:
+    """Ranges of partitions, longest vectors first, each about ``STEP`` times the one before."""
+    ends = [parts]
+    while ends[-1] > 1:
+        ends.append(-(-ends[-1] // STEP))
+    ends = [0, *reversed(ends)]
+    return list(zip(ends, ends[1:]))
+
+
+def _blocks(sizes: list[tuple[int, int]]) -> list[list[int]]:
+    """Record numbers in groups of at most ``QUERY_BYTES`` (a record at least)."""
+    out: list[list[int]] = []
+    room = 0
+    for record, size in sizes:
+        if not out or size > room:
+            out.append([])
+            room = QUERY_BYTES
+        out[-1].append(record)
+        room -= size
+    return out
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", coordinate_from: float = 0.3, focus: int = 5) -> DataFrame:
+    """(query_id, rank, vec_id, score): the best ``k`` of all other rows for each row where ``is_query`` holds."""
+    spark = vectors.sparkSession
+    rows = stage(usable(vectors, id_col, vector_col, is_query), "vectors")
+    full = -(-rows.count() // BUCKET)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(full, tasks), full // BUCKETS_A_TASK)
+    order = (F.col("width"), F.col("norm").desc(), F.col("vec_id"))
+    salted = rows.withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))  # a row repeated without end fills many ranges
+    dealt = salted.repartitionByRange(parts, *order, "salt").sortWithinPartitions(*order)
+    buckets = stage(packed(dealt, BUCKET, BUCKET_BYTES).withColumn("part", F.spark_partition_id()), "buckets")
+    asked = rows.where("asked").dropDuplicates(["vec_id", "x"])
+    records = stage(packed(asked, BUCKET, QUERY_BYTES // 32).withColumn("record", F.monotonically_increasing_id()), "queries")
+    # a few numbers for each megabyte of queries
+    sizes = [(r["record"], 8 * r["n"] * r["width"]) for r in records.select("record", "n", "width").orderBy("record").collect()]
+    steps = waves(buckets.agg(F.coalesce(F.max("part") + 1, F.lit(0))).collect()[0][0])
+    done = []
+    for own in _blocks(sizes):
+        by_width: dict[int, list] = {}
+        for r in records.where(F.col("record").isin(own)).collect():  # QUERY_BYTES at most
+            by_width.setdefault(r["width"], []).append((np.frombuffer(r["ids"], "<i8"), matrix_of(r["width"], r["wide"], r["matrix"])))
+        block = {w: Queries(*(np.concatenate(part) for part in zip(*got))) for w, got in by_width.items()}
+        best = None
+        for low, high in steps:
+            shared = spark.sparkContext.broadcast(block)
+            found = buckets.where((F.col("part") >= low) & (F.col("part") < high)).select("width", "wide", "ids", "matrix").mapInArrow(_meeting(shared, k, coordinate_from, focus), _FOUND)
+            found = found if best is None else found.unionByName(best.drop("rank"))
+            before, best = best, stage(_ranked(found, k), "best")
+            if before is not None:
+                forget(before)
+            if high < steps[-1][1]:
+                # one row a query of the block
+                known = {r["query_id"]: (r["score"], r["vec_id"], r["big"]) for r in best.where(F.col("rank") == k).collect()}
+                for qs in block.values():
+                    qs.raise_floors(known)
+            shared.destroy()
+        if best is not None:
+            done.append(best.select("query_id", "rank", "vec_id", "score"))
+    forget(rows)
+    return reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
