@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import render
-from .common import table
+from . import warc
+from .common import stage, table
 from .lines import quality_rules
 from .packing import pack
 from .pieces import report
@@ -17,7 +18,6 @@ from .simhash import near_duplicates
 from .suffixes import repeat_report
 from .topk import top_k
 from .toxicity import toxicity
-from .warc import audit
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,11 +36,21 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+#: Offsets past any file's end, where the replica has moved and extra records.
+_MOVED, _EXTRA = 1 << 30, 1 << 31
+
+
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The archive of all pages against a replica in which the last byte of some pages has rotted."""
+    """The archive of all pages against a replica of its files in which some records have rotted, gone, moved or come twice."""
     pages = table(spark, sf_dir, "pages")
-    rotten = (F.char_length("html") > 0) & (F.sha2(F.col("page_id").cast("string"), 256) < "03")
-    return audit(pages, pages.withColumn("html", F.when(rotten, F.concat(F.expr("left(html, char_length(html) - 1)"), F.lit("\x01"))).otherwise(F.col("html"))))
+    fate = F.coalesce(F.substring(F.sha2(F.col("page_id").cast("string"), 256), 1, 2), F.lit("zz"))
+    rotten = F.when((fate < "03") & (F.char_length("html") > 0), F.concat(F.expr("left(html, char_length(html) - 1)"), F.lit("\x01"))).otherwise(F.col("html"))
+    rot = F.sha2(warc.record_text(F.col("page_id"), F.col("url"), rotten), 256)
+    archive = stage(warc.placed(warc.digests(pages.withColumn("rot", rot).withColumn("fate", fate), "rot", "fate")), "archive")
+    at, fate = F.col("offset"), F.col("fate")
+    places = F.when(fate == "03", F.array().cast("array<bigint>")).when(fate == "04", F.array(at + _MOVED)).when(fate == "05", F.array(at, at + _EXTRA)).otherwise(F.array(at))
+    replica = archive.select("page_id", "file", "length", F.col("rot").alias("digest"), F.explode(places).alias("offset"))
+    return warc.audit(archive, replica)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,18 +108,22 @@ WITH records AS (
     html
   FROM pages
 ), digests AS (
-  SELECT page_id, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS sha256, coalesce(length(html) > 0 AND sha256(CAST(page_id AS VARCHAR)) < '03', false) AS rotten FROM records
+  SELECT page_id, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS sha256, coalesce(length(html) > 0, false) AS has_text, coalesce(substring(sha256(CAST(page_id AS VARCHAR)), 1, 2), 'zz') AS fate FROM records
 ), ordered AS (
   SELECT *, (row_number() OVER (ORDER BY page_id NULLS FIRST, sha256) - 1) AS ordinal FROM digests
 ), filed AS (
   SELECT *, CAST(ordinal // 1024 AS BIGINT) AS file FROM ordered
+), placed AS (
+  SELECT page_id, file, CAST(sum(length) OVER (PARTITION BY file ORDER BY ordinal) - length AS BIGINT) AS offset, length, sha256, has_text, fate FROM filed
+), judged AS (
+  SELECT page_id, file, offset, length, sha256, CASE WHEN fate < '03' AND has_text THEN 'rotten' WHEN fate = '03' THEN 'missing' WHEN fate = '04' THEN 'moved' ELSE 'intact' END AS status FROM placed
+  UNION ALL SELECT page_id, file, offset + 1073741824, length, sha256, 'moved_to' FROM placed WHERE fate = '04'
+  UNION ALL SELECT page_id, file, offset + 2147483648, length, sha256, 'extra' FROM placed WHERE fate = '05'
 )
-SELECT page_id, file, CAST(sum(length) OVER (PARTITION BY file ORDER BY ordinal) - length AS BIGINT) AS offset, length, sha256,
-  NOT rotten AS intact
-FROM filed
+SELECT page_id, file, offset, length, sha256, status = 'intact' AS intact, status FROM judged
 """
 
-_CHAT = """
+_CHAT = r"""
 WITH turns AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
 ), prefixes AS (
@@ -122,7 +136,8 @@ WITH turns AS (
   SELECT conv_id, total FROM whole WHERE prefix NOT IN (SELECT prefix FROM prefixes WHERE len(prefix) < total)
 )
 SELECT conv_id, CAST(turn // 256 AS BIGINT) AS segment, count(*) AS n_turns, total AS total_turns,
-  string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS text
+  string_agg('<|im_start|>' || regexp_replace(translate(role, chr(13) || chr(10), '  '), '<(\\*\|im_(?:start|end)\|>)', '<\\\1', 'g') || chr(10)
+    || regexp_replace(text, '<(\\*\|im_(?:start|end)\|>)', '<\\\1', 'g') || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS text
 FROM turns JOIN kept USING (conv_id)
 GROUP BY conv_id, turn // 256, total
 """
@@ -160,13 +175,14 @@ WITH rows AS (
 ), covered AS (
   SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM repeated) GROUP BY r
 ), own_lines AS (
-  SELECT r, host, line, sum(n) AS words FROM (
-    SELECT r, host, array_to_string(w, ' ') AS line, len(w) AS n FROM (SELECT r, host, regexp_extract_all(lower(unnest(lines)), '[^\x20\x09-\x0D]+') AS w FROM split)
-  ) GROUP BY r, host, line
+  SELECT r, doc_id, host, line, sum(n) AS words FROM (
+    SELECT r, doc_id, host, array_to_string(w, ' ') AS line, len(w) AS n FROM (SELECT r, doc_id, host, regexp_extract_all(lower(unnest(lines)), '[^\x20\x09-\x0D]+') AS w FROM split)
+  ) GROUP BY r, doc_id, host, line
 ), hosts AS (
-  SELECT host, count(*) AS documents FROM rows GROUP BY host
+  SELECT host, count(DISTINCT doc_id) + count(*) FILTER (doc_id IS NULL) AS documents FROM rows GROUP BY host
 ), frequent AS (
-  SELECT l.host, l.line FROM own_lines l JOIN hosts h ON l.host IS NOT DISTINCT FROM h.host GROUP BY l.host, l.line, h.documents HAVING count(*) >= 20 AND count(*) > 0.1 * h.documents
+  SELECT l.host, l.line FROM (SELECT host, line, count(DISTINCT doc_id) + count(*) FILTER (doc_id IS NULL) AS held FROM own_lines GROUP BY host, line) l JOIN hosts h ON l.host IS NOT DISTINCT FROM h.host
+  WHERE held > 1 AND held - 1 > 0.1 * (documents - 1)
 ), removed AS (
   SELECT l.r, CAST(sum(l.words) AS BIGINT) AS removed_words FROM own_lines l JOIN frequent f ON l.line = f.line AND l.host IS NOT DISTINCT FROM f.host GROUP BY l.r
 ), counted AS (

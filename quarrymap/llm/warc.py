@@ -2,17 +2,28 @@
 
 A page becomes a WARC/1.0 resource record. Records are ordered by page id, cut
 into files of a fixed number of records, and placed by prefix sums of their
-lengths. A tree over the ordered records has the SHA-256 of a record's bytes at
-each leaf and, above, the SHA-256 of up to ``FAN`` children in order, each
-covering a range of files and offsets. Two replicas are compared from the root;
-only children of nodes that differ are looked at, down to the records.
+lengths. Where a replica's records lie is a manifest: page, file, offset, length
+and digest of every record.
 
-Only digests and lengths are shuffled, never pages; every group has at most
-``FAN`` children or a file's records.
+A tree is built over each manifest on its own. A leaf is the hash of a record's
+offset, length and digest; a node above the leaves covers an ordered range of
+``RANGE`` offsets of a file and hashes its leaves in order, with its own bounds;
+a file hashes its ranges; then each node hashes up to ``FAN`` files, groups of
+files and so on to the root. Replicas are compared at the root, and only below
+nodes that differ is anything looked at, down to the records of a few ranges.
+
+What is found there has a name: ``rotten`` (another record lies at the place),
+``moved`` (nothing lies there, but the same bytes lie elsewhere), ``missing``,
+and, for records that only the replica has, ``moved_to`` (the bytes of a moved
+record) or ``extra``.
+
+Only digests and lengths are shuffled, never pages. Records that claim the same
+place with the same bytes are counted first, so a group is what fits a range of
+offsets, or ``FAN`` children.
 
 Defined results: null urls and pages are empty; pages without an id come first,
-in the order of their digests; repeated rows are records each. A record that
-only one replica has differs.
+in the order of their digests; repeated rows are records each; empty manifests
+are equal.
 """
 
 from __future__ import annotations
@@ -26,9 +37,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import forget, stage
 
-FAN, FILE_RECORDS = 16, 1024
+FAN, FILE_RECORDS, RANGE = 64, 1024, 1 << 16
 #: The date of records whose pages have none.
 NO_DATE = "1970-01-01T00:00:00Z"
 
@@ -43,18 +54,19 @@ def record_text(page_id: Column, url: Column, html: Column) -> Column:
     )
 
 
-def digests(pages: DataFrame) -> DataFrame:
-    """(page_id, length, digest) of every page's record: one pass, no shuffle."""
+def digests(pages: DataFrame, *more: str) -> DataFrame:
+    """(page_id, length, digest, and the columns ``more``) of every page's record: one pass, no shuffle."""
     record = record_text(F.col("page_id"), F.col("url"), F.col("html"))
-    return pages.select("page_id", record.alias("record")).select("page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
+    return pages.select("page_id", record.alias("record"), *more).select("page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"), *more)
 
 
 def placed(records: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
-    """Adds ``ordinal``, ``file`` and ``offset``: two-pass prefix sums over range partitions."""
+    """Adds ``file`` and ``offset``: two-pass prefix sums over range partitions."""
     spark = records.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["page_id", "digest"]
-    dealt = records.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # equal records may lie in any order, so their row number spreads them over ranges
+    order = ["page_id", "digest", "row"]
+    dealt = records.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("row")
     staged = stage(dealt.withColumn("place", F.monotonically_increasing_id()), "records")
     part = F.shiftright("place", 33)
     # one row a partition
@@ -63,87 +75,111 @@ def placed(records: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
     for r in counts:
         bases[r["part"]], total = total, total + r["n"]
     base = F.broadcast(spark.createDataFrame(list(bases.items()), "base_part bigint, base bigint"))  # one row a partition
-    inside = Window.partitionBy("file").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("file").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)  # a file's records
     return (
         staged.join(base, part == F.col("base_part"))
         .withColumn("ordinal", F.col("base") + F.col("place").bitwiseAND((1 << 33) - 1))
         .withColumn("file", F.floor(F.col("ordinal") / file_records).cast("long"))
         .withColumn("offset", F.sum("length").over(inside) - F.col("length"))
-        .drop("place", "base_part", "base")
+        .drop("place", "base_part", "base", "ordinal")
     )
 
 
-def tree(leaves: DataFrame, fan: int = FAN) -> list[DataFrame]:
-    """The levels of a Merkle tree over (ordinal, digest), leaves first: (node, digest)."""
-    levels = [stage(leaves.select(F.col("ordinal").alias("node"), "digest"), "leaves")]
-    while True:
-        top = levels[-1].agg(F.max("node")).collect()[0][0]
-        if not top:
-            return levels
-        up = levels[-1].groupBy(F.floor(F.col("node") / fan).cast("long").alias("up")).agg(F.sort_array(F.collect_list(F.struct("node", "digest"))).alias("below"))
-        levels.append(stage(up.select(F.col("up").alias("node"), F.sha2(F.array_join(F.col("below.digest"), ""), 256).alias("digest")), "level"))
-
-
-def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
-    both = a.join(b.select(F.col("node").alias("b_node"), F.col("digest").alias("b_digest")), F.col("node") == F.col("b_node"), "full")
-    return both.where(~F.col("digest").eqNullSafe(F.col("b_digest"))).select(F.coalesce("node", "b_node").alias("bad"))
-
-
-def differing_leaves(a: list[DataFrame], b: list[DataFrame], fan: int = FAN) -> DataFrame:
-    """Ordinals (``bad``) of the leaves at which the trees differ, found from the root down."""
-    bad, depth = None, max(len(a), len(b))
-    for level in range(depth - 1, -1, -1):
-        sides = [x[level] if level < len(x) else x[0].limit(0) for x in (a, b)]
+def _hashed(node: list[Column], children: Column) -> Column:
+    """A node's hash: its own bounds, then its children in order."""
+    return F.sha2(F.concat_ws("\n", *[n.cast("string") for n in node], F.array_join(children, "\n")), 256)
+
+
+def _in_order(key: str, value: str) -> Column:
+    return F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda c: c[value])
+
+
+def tree(manifest: DataFrame) -> list[DataFrame]:
+    """The levels of a manifest's tree, from ranges (file, range, hash) and files (node, hash) up to the root."""
+    # equal claims on a place are counted, so that they are one leaf
+    leaves = manifest.groupBy("file", "offset", "length", "digest").agg(F.count("*").alias("n"))
+    leaf = F.sha2(F.concat_ws(" ", *[F.col(c).cast("string") for c in ("offset", "length", "digest", "n")]), 256)
+    own = leaves.select("file", F.floor(F.col("offset") / RANGE).cast("long").alias("range"), "offset", leaf.alias("leaf"))
+    ranges = own.groupBy("file", "range").agg(_in_order("offset", "leaf").alias("below")).select("file", "range", _hashed([F.col("file"), F.col("range") * RANGE, (F.col("range") + 1) * RANGE], F.col("below")).alias("hash"))
+    levels = [stage(ranges, "ranges")]
+    files = levels[0].groupBy("file").agg(_in_order("range", "hash").alias("below")).select(F.col("file").alias("node"), _hashed([F.col("file")], F.col("below")).alias("hash"))
+    levels.append(stage(files, "files"))
+    top = levels[-1].agg(F.max("node")).collect()[0][0]
+    while top:
+        top //= FAN
+        up = levels[-1].groupBy(F.floor(F.col("node") / FAN).cast("long").alias("up")).agg(_in_order("node", "hash").alias("below"))
+        levels.append(stage(up.select(F.col("up").alias("node"), _hashed([F.col("up")], F.col("below")).alias("hash")), "level"))
+    return levels
+
+
+def _differing(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys under which the two sides don't have the same hash."""
+    both = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1)))
+    met = both.groupBy(*keys).agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.count_distinct("side").alias("sides"))
+    return met.where("low <> high OR sides < 2").select(*[F.col(k).alias(f"bad_{k}") for k in keys])
+
+
+def differing_ranges(a: list[DataFrame], b: list[DataFrame]) -> DataFrame | None:
+    """(bad_file, bad_range) of the ranges at which the trees differ, found from the root down; None if the roots are equal."""
+    while len(a) != len(b):  # the lower tree's root is the first child of a root as high as the other's
+        low = a if len(a) < len(b) else b
+        up = low[-1].groupBy(F.floor(F.col("node") / FAN).cast("long").alias("up")).agg(_in_order("node", "hash").alias("below"))
+        low.append(stage(up.select(F.col("up").alias("node"), _hashed([F.col("up")], F.col("below")).alias("hash")), "level"))
+    bad = None
+    for level in range(len(a) - 1, -1, -1):
+        sides, keys = (a[level], b[level]), ["node"] if level else ["file", "range"]
         if bad is not None:  # only below nodes that differ
-            sides = [s.join(bad, F.floor(F.col("node") / fan).cast("long") == F.col("bad"), "left_semi") for s in sides]
-        bad = stage(_differing(*sides), "differing")
+            parent = F.col("file") if not level else F.floor(F.col("node") / FAN).cast("long")
+            sides = [s.join(bad, parent == F.col("bad_node"), "left_semi") for s in sides]
+        bad = stage(_differing(*sides, keys), "differing")
         if bad.isEmpty():
-            break
+            return None
     return bad
 
 
-def _copies(records: DataFrame, n: str, start) -> DataFrame:
-    """A row for each of ``n`` copies, at positions (``slot``) from ``start``; none for 0."""
-    return records.where(f"{n} > 0").select("page_id", "digest", "length", F.explode(F.sequence(start, start + F.col(n) - 1)).alias("slot"))
-
-
-def _turns(records: DataFrame) -> DataFrame:
-    """Adds ``turn``: the place of a record among those of its id, by digest."""
-    numbered = stage(placed(records).drop("file", "offset"), "turns")
-    starts = numbered.groupBy(F.col("page_id").alias("s_id")).agg(F.min("ordinal").alias("s"))
-    return numbered.join(starts, F.col("page_id").eqNullSafe(F.col("s_id"))).withColumn("turn", F.col("ordinal") - F.col("s")).drop("s_id", "s", "ordinal")
+_PLACE = ("file", "offset", "length", "digest")
 
 
 def audit(archive: DataFrame, replica: DataFrame) -> DataFrame:
-    """Every record of either side with its place in the archive, digest and whether both have it.
+    """(page_id, file, offset, length, sha256, intact, status) of every record of the archive's manifest, and of those only the replica has.
 
-    Both are tables of pages. Equal records of an id stand at the same leaf, what
-    is left of an id is paired in the order of the digests. Records that only the
-    replica has are leaves behind the archive's; they have no file and offset, and
-    their own length and digest.
+    Both are manifests: page_id, file, offset, length and digest of records.
     """
-    first = stage(placed(digests(archive)), "archive")
-    # equal records of the archive lie side by side
-    ours = first.groupBy("page_id", "digest").agg(F.max("length").alias("length"), F.min("ordinal").alias("start"), F.count("*").alias("a"))
-    theirs = digests(replica).groupBy(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest")).agg(F.max("length").alias("r_length"), F.count("*").alias("r"))
-    both = ours.join(theirs, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "full")
-    had, has = F.coalesce("a", F.lit(0)), F.coalesce("r", F.lit(0))
-    both = stage(
-        both.select(
-            F.coalesce("page_id", "r_id").alias("page_id"), F.coalesce("digest", "r_digest").alias("digest"), F.coalesce("length", "r_length").alias("length"),
-            "start", F.least(had, has).alias("same"), (had - F.least(had, has)).alias("lost"), (has - F.least(had, has)).alias("other"),
-        ), "groups",
-    )
-    lost = _turns(_copies(both, "lost", F.col("start") + F.col("same"))).select(F.col("page_id").alias("l_id"), F.col("turn").alias("l_turn"), F.col("slot").alias("ordinal"))
-    other = _turns(_copies(both, "other", F.lit(0).cast("long")).drop("slot"))
-    met = stage(other.join(lost, F.col("page_id").eqNullSafe(F.col("l_id")) & (F.col("turn") == F.col("l_turn")), "left").select("page_id", "digest", "length", "ordinal"), "paired")
-    behind = first.agg(F.coalesce(F.max("ordinal") + 1, F.lit(0))).collect()[0][0]
-    added = stage(placed(met.where("ordinal IS NULL").drop("ordinal")).withColumn("ordinal", F.col("ordinal") + behind), "added")
-    copy = _copies(both, "same", F.col("start")).select(F.col("slot").alias("ordinal"), "digest")
-    copy = copy.unionByName(met.where("ordinal IS NOT NULL").select("ordinal", "digest")).unionByName(added.select("ordinal", "digest"))
-    bad = differing_leaves(tree(first), tree(copy))
-    rows = first.unionByName(added.withColumn("file", F.lit(None).cast("long")).withColumn("offset", F.lit(None).cast("long")))
-    return rows.join(bad, F.col("ordinal") == F.col("bad"), "left").select("page_id", "file", "offset", "length", F.col("digest").alias("sha256"), F.col("bad").isNull().alias("intact"))
+    trees = tree(archive), tree(replica)
+    bad = differing_ranges(*trees)
+    shown = [F.col(c) for c in ("page_id", "file", "offset", "length")] + [F.col("digest").alias("sha256")]
+    if bad is None:
+        forget(*trees[0], *trees[1])
+        return archive.select(*shown, F.lit(True).alias("intact"), F.lit("intact").alias("status"))
+    forget(*trees[0], *trees[1])
+
+    def suspects(manifest: DataFrame) -> DataFrame:
+        return manifest.join(bad, (F.col("file") == F.col("bad_file")) & (F.floor(F.col("offset") / RANGE).cast("long") == F.col("bad_range")), "left_semi")
+
+    ours, theirs = (stage(suspects(m).select("page_id", *_PLACE), "suspects") for m in (archive, replica))
+    lost = stage(ours.join(theirs.select(*_PLACE).distinct(), list(_PLACE), "left_anti"), "lost")
+    # more claims on a place than the archive has are records of the replica only
+    claims = lambda m, n: m.groupBy(*_PLACE).agg(F.count("*").alias(n))
+    spare = claims(theirs.withColumn("page_id", F.lit(None)), "b").join(claims(ours, "a"), list(_PLACE), "left").select(*_PLACE, F.greatest(F.col("b") - F.coalesce("a", F.lit(0)), F.lit(0)).alias("spare")).where("spare > 0")
+    whose = theirs.groupBy(*_PLACE).agg(F.min("page_id").alias("page_id"))
+    places = lost.select(F.col("file").alias("l_file"), F.col("offset").alias("l_offset")).distinct()
+    at_lost = (F.col("file") == F.col("l_file")) & (F.col("offset") == F.col("l_offset"))
+    alien = stage(spare.join(whose, list(_PLACE)), "alien")
+    # what lies where a record was lost is that record's rot
+    taken = alien.join(places, at_lost, "left_semi").select(F.col("file").alias("t_file"), F.col("offset").alias("t_offset")).distinct()
+    added = alien.join(places, at_lost, "left_anti")
+    free = lost.join(taken, (F.col("file") == F.col("t_file")) & (F.col("offset") == F.col("t_offset")), "left_anti")
+    digests_of = lambda m, name: m.select(F.col("digest").alias(name)).distinct()
+    found = free.join(digests_of(added, "f_digest"), F.col("digest") == F.col("f_digest"), "left").select(*_PLACE, F.when(F.col("f_digest").isNotNull(), "moved").otherwise("missing").alias("why"))
+    rotten = lost.join(taken, (F.col("file") == F.col("t_file")) & (F.col("offset") == F.col("t_offset")), "left_semi").select(*_PLACE, F.lit("rotten").alias("why"))
+    known = stage(found.unionByName(rotten).distinct(), "known")
+    moved = digests_of(known.where("why = 'moved'"), "m_digest")
+    more = added.join(moved, F.col("digest") == F.col("m_digest"), "left").select("page_id", *_PLACE, "spare", F.when(F.col("m_digest").isNotNull(), "moved_to").otherwise("extra").alias("status"))
+    more = more.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("spare")))).drop("copy", "spare")
+    named = known.select(*[F.col(c).alias(f"k_{c}") for c in _PLACE], "why")
+    same = (F.col("file") == F.col("k_file")) & (F.col("offset") == F.col("k_offset")) & (F.col("digest") == F.col("k_digest")) & (F.col("length") == F.col("k_length"))
+    own = archive.join(named, same, "left").select("page_id", *_PLACE, F.coalesce("why", F.lit("intact")).alias("status"))
+    return own.unionByName(more).select(*shown, (F.col("status") == "intact").alias("intact"), "status")
 
 
 # --- files --------------------------------------------------------------------
