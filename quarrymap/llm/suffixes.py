@@ -26,7 +26,8 @@ No stage holds more than a batch or a bucket; nothing is dropped or capped.
 
 Defined results: a null text is empty; a document with a null doc_id is neither
 cut nor held against others; rows that repeat a doc_id are not earlier than
-each other, so they are cut only by smaller ids.
+each other, so they are cut only by smaller ids (they lie in one batch); an
+empty table gives no rows; other columns, of any name, are as they were.
 """
 
 from __future__ import annotations
@@ -41,7 +42,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, nullable, stage
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+
+from .common import byte_texts, forget, loose, named, nullable, release, sliced, stage
 
 LENGTH, GRAM = 50, 20
 #: Bytes that are hashed at a time, and bytes of a batch of documents on average.
@@ -209,7 +212,7 @@ def _anchor_records(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator
             [pa.array(list(out), pa.int32()), pa.array([x[0] for x in out.values()], pa.binary()), pa.array([x[1] for x in out.values()], pa.binary())], names=["bucket", "fresh", "known"]
         )
 
-    for batch in batches:
+    for batch in sliced(batches):
         ids, texts = np.asarray(batch.column("doc_id")), byte_texts(batch.column("text"))
         for a, b in _chunks(texts):
             own = []
@@ -231,6 +234,7 @@ def _anchor_records(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator
                 seen.clear()
     if size:
         yield packed()
+    release()
 
 
 def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,6 +258,7 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for at in range(0, len(out_h), 1 << 16):
         s = slice(at, at + (1 << 16))
         yield pa.RecordBatch.from_arrays([pa.array(out_d[s]), pa.array(out_h[s].view(np.int64)), pa.array(out_n[s])], names=["doc_id", "anchor", "n"])
+    release()
 
 
 # --- step 3: which windows of them are ---------------------------------------
@@ -456,6 +461,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = b"".join(map(xxhash.xxh3_128_digest, keys))
         back = np.array([len(keys), len(heads)], "<u4").tobytes() + heads.tobytes() + n.astype("<u1").tobytes() + names + flat.astype("<i8").tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([batch], pa.int32()), pa.array([_squeezed(back)], pa.binary())], names=["batch", "answer"])
+    release()
 
 
 # --- step 4: cut ----------------------------------------------------------
@@ -511,21 +517,25 @@ def cut_text(text: bytes, spans: np.ndarray) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def remove_repeats(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, spans: removed runs [start, end), kept: the remaining bytes, rest: all other columns) of every row."""
+def remove_repeats(documents: DataFrame, as_text: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, spans: removed runs [start, end), kept: the remaining bytes, rest: all other columns) of every row.
+
+    With ``as_text`` kept is text: a cut may fall inside a character, and what is left of it goes.
+    """
     spark = documents.sparkSession
     own = [c for c in documents.columns if c not in ("doc_id", "text")]
-    rest = (F.struct(*[F.col(f"`{c}`") for c in own]) if own else F.struct(F.lit(None).cast("int").alias("none"))).alias("rest")
+    rest = (F.struct(*[named(c) for c in own]) if own else F.struct(F.lit(None).cast("int").alias("none"))).alias("rest")
     texts = documents.select("doc_id", "text", rest)
     ided = texts.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    data_bytes = ided.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), data_bytes // (24 << 20) + 1)
-    buckets = 4 * tasks
 
     # 1. copies of whole texts
-    digests = stage(ided.where(F.octet_length("text") >= LENGTH).select("doc_id", F.sha2("text", 256).alias("digest")), "digests")
+    digests = stage(ided.where(F.octet_length("text") >= LENGTH).select("doc_id", F.octet_length("text").alias("size"), F.sha2("text", 256).alias("digest")), "digests")
+    data_bytes = digests.agg(F.sum("size")).collect()[0][0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), data_bytes // (24 << 20) + 1)
+    buckets = 4 * tasks
     firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("digest", "first_id")
     copies = stage(digests.join(firsts, "digest").where("doc_id > first_id").select("doc_id", "digest"), "copies")
+    forget(digests)
 
     # 2. shared anchors
     records = ided.select("doc_id", "text").mapInArrow(lambda b: _anchor_records(b, buckets), _ANCHORS)
@@ -551,16 +561,20 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
         """Ids and texts of a batch, and which are copies: they have no text any more."""
         ids, data = np.asarray(rows.column("doc_id").combine_chunks()), byte_texts(rows.column("text").combine_chunks())
         copied = {(c, d) for c, d in zip(told.column("c_id").to_pylist(), told.column("digest").to_pylist()) if c is not None} if told.column("c_id").null_count < len(told) else set()
-        named = {c for c, _ in copied}
-        return ids, data, np.array([i in named and (i, hashlib.sha256(t).hexdigest()) in copied for i, t in zip(ids.tolist(), data)], bool)
+        known = {c for c, _ in copied}
+        return ids, data, np.array([i in known and (i, hashlib.sha256(t).hexdigest()) in copied for i, t in zip(ids.tolist(), data)], bool)
 
     def ask(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
         ids, data, copy = opened(rows, told)
         anchors = np.unique(np.asarray(told.column("anchor").drop_null()).view(np.uint64))
-        return _questions(key[0].as_py(), _ask(ids, [b"" if c else t for t, c in zip(data, copy)], anchors, known_hot.value), buckets)
+        out = _questions(key[0].as_py(), _ask(ids, [b"" if c else t for t, c in zip(data, copy)], anchors, known_hot.value), buckets)
+        del data
+        release()
+        return out
 
     asked = rows.drop("rest").groupBy("batch").cogroup(of_anchors.union(of_copies).groupBy("batch")).applyInArrow(ask, _ASKED)
     answered = stage(asked.repartition(tasks, "bucket").mapInArrow(_answers, "batch int, answer binary"), "answers")
+    forget(shared)
 
     # 4. every batch with its answers
     def cut(rows: pa.Table, told: pa.Table) -> pa.Table:
@@ -568,18 +582,24 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
         spans = removed_spans(ids, [b"" if c else t for t, c in zip(data, copy)], known_hot.value, told.column("answer").drop_null().to_pylist())
         for i in np.flatnonzero(copy).tolist():
             spans[i] = np.array([[0, len(data[i])]])
-        return pa.table({
+        kept = [cut_text(t, s) for t, s in zip(data, spans)]
+        out = pa.table({
             "doc_id": rows.column("doc_id"),
             "n_bytes": pa.array([len(t) for t in data], pa.int64()),
             "spans": pa.array([[{"start": a, "end": b} for a, b in s.tolist()] for s in spans], _SPANS),
-            "kept": pa.array([cut_text(t, s) for t, s in zip(data, spans)], pa.binary()),
+            "kept": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
             "rest": rows.column("rest").cast(nullable(rows.schema.field("rest").type)),
         })
+        del data, kept
+        release()
+        return out
 
-    kind = f"doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary, rest {texts.schema['rest'].dataType.simpleString()}"
+    kind = StructType.fromDDL("doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>")
+    kind = StructType([*kind.fields, StructField("kept", StringType() if as_text else BinaryType()), StructField("rest", loose(texts.schema["rest"].dataType))])
     done = rows.groupBy("batch").cogroup(said(answered, answer=F.col("answer")).union(of_copies).groupBy("batch")).applyInArrow(cut, kind)
+    whole = F.coalesce(F.col("text"), F.lit(""))
     left = texts.where("doc_id IS NULL OR text IS NULL").select(
-        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)").alias("spans"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("kept"), "rest"
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)").alias("spans"), (whole if as_text else whole.cast("binary")).alias("kept"), "rest"
     )
     return done.union(left)
 
@@ -594,20 +614,10 @@ def repeat_report(documents: DataFrame) -> DataFrame:
 
 
 def keep_first(documents: DataFrame) -> DataFrame:
-    """The documents, columns as they were, with repeated passages cut out of ``text`` and ``n_chars`` recounted.
-
-    A cut may fall inside a character; what is left of it goes. No row goes.
-    """
-    made = remove_repeats(documents)
-
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text = [(x or b"").decode("utf-8", "ignore") for x in b.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(text, pa.string()), b.column("rest").cast(nullable(b.column("rest").type))], names=["doc_id", "text", "rest"])
-
-    out = made.select("doc_id", "kept", "rest").mapInArrow(decoded, f"doc_id bigint, text string, rest {made.schema['rest'].dataType.simpleString()}")
-    each = {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    """The documents, columns as they were, with repeated passages cut out of ``text`` and ``n_chars`` recounted. No row goes."""
+    made = remove_repeats(documents, as_text=True)
+    each = {"doc_id": F.col("doc_id"), "text": F.col("kept")}
     for f in documents.schema.fields:
         if f.name not in each:
-            each[f.name] = F.char_length("text").cast(f.dataType) if f.name == "n_chars" else F.col("rest").getField(f.name)
-    return out.select(*[each[c].alias(c) for c in documents.columns])
+            each[f.name] = F.char_length("kept").cast(f.dataType) if f.name == "n_chars" else F.col("rest").getField(f.name)
+    return made.select(*[each[c].alias(c) for c in documents.columns])
