@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quarrymap.llm import simhash, suffixes
 
@@ -45,18 +46,43 @@ def test_fingerprints():
         assert simhash.fingerprint(text.encode()) == brute_fingerprint(text)
 
 
-@pytest.mark.parametrize("count", [1, 2, 63, 64, 65, 300])
-def test_tiles_are_exact(count):
+def scattered(rng, count, words, flips):
+    base = rng.integers(0, 2**63, (5, words), dtype=np.uint64)
+    fps = base[rng.integers(0, 5, count)].copy()
+    for _ in range(flips):
+        where = rng.integers(0, words, count)
+        fps[np.arange(count), where] ^= np.where(rng.random(count) < 0.6, np.uint64(1) << rng.integers(0, 64, count).astype(np.uint64), np.uint64(0))
+    return fps
+
+
+def brute_pairs(a, b, radius):
+    return {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if int(np.bitwise_count(x ^ y).sum()) <= radius}
+
+
+@pytest.mark.parametrize(("words", "radius", "flips"), [(1, 0, 2), (1, 3, 4), (1, 5, 8), (4, 64, 90), (4, 10, 9)])
+@pytest.mark.parametrize("count", [1, 2, 63, 64, 65, 200])
+def test_cells_and_pairs_are_exact(words, radius, flips, count):
     rng = np.random.default_rng(count)
-    base = rng.integers(0, 2**63, 5, dtype=np.uint64)
-    fps = base[rng.integers(0, 5, count)]
-    for _ in range(4):
-        fps = fps ^ np.where(rng.random(count) < 0.6, np.uint64(1) << rng.integers(0, 64, count).astype(np.uint64), np.uint64(0))
-    want = brute_components([int(f) for f in fps])
-    assert simhash.tile_components(fps, 3).tolist() == want
-    one_block = np.zeros(count, np.int64)
-    small = simhash.small_components(fps, one_block, np.full(count, count), 3).tolist()
-    assert [small[w] == small[i] for i, w in enumerate(want)] == [True] * count and len(set(small)) == len(set(want))
+    fps, other = scattered(rng, count, words, flips), scattered(rng, 70, words, flips)
+    other[:1] = fps[:1]
+    got = [(i, j) for x, y in simhash.near_cells(fps, fps, radius, 0) for i, j in zip(x.tolist(), y.tolist())]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i, j in brute_pairs(fps, fps, radius) if i < j}
+    got = [(i, j) for x, y in simhash.near_cells(fps, other, radius) for i, j in zip(x.tolist(), y.tolist())]
+    assert set(got) == brute_pairs(fps, other, radius)
+    a, b = np.divmod(np.arange(count * 70), 70)
+    near = simhash.near_pairs(fps[a], other[b], radius)
+    assert {(int(a[k]), int(b[k])) for k in near} == brute_pairs(fps, other, radius)
+
+
+def test_cells_are_abandoned(monkeypatch):
+    """Most cells of unrelated fingerprints are given up before half of the planes, though each query is a lane itself."""
+    left, keep = [], simhash.Counter.keep
+    monkeypatch.setattr(simhash.Counter, "keep", lambda self, at: (left.append(len(at) / len(self.beyond)), keep(self, at))[1])
+    fps = np.random.default_rng(5).integers(0, 2**63, (1024, 1), dtype=np.uint64)
+    assert not [x for x, _ in simhash.near_cells(fps, fps, 3, 0) if len(x)]
+    assert left and min(left) < 0.5
+    left.clear()
+    assert not len(simhash.near_pairs(fps[:512], fps[512:], 3)) and min(left) < 0.5
 
 
 def near_corpus():
@@ -69,6 +95,8 @@ def near_corpus():
         words[rng.randrange(150)] = word()
         rows.append((100 + i, " ".join(words), "y"))
     rows += [(300 + i, base[0].upper(), None) for i in range(5)]
+    linked = base[7].split()
+    rows += [(None, " ".join(linked[:149] + ["other"]), None)]
     rows += [(400, None, None), (401, "", None), (402, " \n", None), (403, "one two", None), (403, "one two", None), (None, "one two", None), (None, "lonely words here", None)]
     return rows
 
@@ -77,15 +105,26 @@ def test_near_duplicates(spark, monkeypatch):
     rows = near_corpus()
     monkeypatch.setattr(simhash, "TILE", 8)  # blocks are cut into tiles
     got = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert len(got) == len(rows)
-    ided = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
-    fps = [brute_fingerprint(t) for _, t, _ in ided]
-    want = {(i, "%016x" % f, ided[c][0]) for (i, _, _), f, c in zip(ided, fps, brute_components(fps))}
-    assert {tuple(r) for r in got if r["doc_id"] is not None} == want
-    lonely = {r["component_id"] for r in got if r["doc_id"] is None}
-    assert lonely == {403, None}
+    fps = [brute_fingerprint(t) for _, t, _ in rows]
+    root = brute_components(fps)
+    least = {}
+    for (i, _, _), r in zip(rows, root):
+        if i is not None:
+            least[r] = min(least.get(r, i), i)
+    want = sorted(((i, "%016x" % f, least.get(r)) for (i, _, _), f, r in zip(rows, fps, root)), key=str)
+    assert sorted((tuple(r) for r in got), key=str) == want
+    three = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), agree=3).collect()
+    assert sorted((tuple(r) for r in three), key=str) == want
     kept = [r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()]
-    assert sorted(k for k in kept if k is not None) == sorted({c for _, _, c in want}) and kept.count(None) == 2
+    assert sorted(k for k in kept if k is not None) == sorted({c for _, _, c in want if c is not None}) and kept.count(None) == 3
+
+
+def test_a_row_without_an_id_links(spark, monkeypatch):
+    """Two documents that only meet over a row without an id are one component."""
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: docs.select("doc_id", F.expr("CASE text WHEN 'a' THEN 0L WHEN 'b' THEN 7L ELSE 63L END").alias("fp")))
+    rows = [(1, "a", None), (None, "b", None), (3, "c", None)]
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(1, 1), (None, 1), (3, 1)}
 
 
 def test_empty_tables(spark):
@@ -136,6 +175,17 @@ def test_repeats_cut_keeps_columns(spark):
     assert sorted(map(tuple, made.collect())) == [(1, "é" * 60, "x"), (2, "zz", "y")]
 
 
+def test_very_long_texts_and_odd_columns(spark):
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(600_000))
+    rows = [(1, passage, "x"), (2, "before " + passage[1000:400_000] + " after", "y"), (3, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"my col": F.lit(1), "a.b": F.lit("z"), "tick`s": F.array(F.lit(2)), "rest": F.lit(0), "kept": F.lit(0)})
+    made = suffixes.keep_first(docs)
+    assert made.columns == docs.columns
+    got = {r["doc_id"]: r for r in made.collect()}
+    assert got[1]["text"] == passage and got[2]["text"] == "before  after" and got[3]["text"] == "" and got[2]["my col"] == 1 and got[2]["a.b"] == "z" and got[2]["tick`s"] == [2]
+
+
 def test_prefix_classes_are_exact():
     rng = np.random.default_rng(2)
     text = rng.integers(1, 4, 900)

@@ -2,7 +2,10 @@
 
 import random
 
-from quarrymap.llm import nearcopies
+import numpy as np
+import pytest
+
+from quarrymap.llm import nearcopies, simhash
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -17,6 +20,53 @@ def similarity(a, b):
     return len(a & b) / len(a | b)
 
 
+@pytest.mark.parametrize(("segment", "chunk"), [(1 << 16, 1 << 21), (7, 40)])
+def test_sets_keys_and_fingerprints(monkeypatch, segment, chunk):
+    monkeypatch.setattr(nearcopies, "SEGMENT", segment), monkeypatch.setattr(nearcopies, "CHUNK", chunk)
+    rng = random.Random(4)
+    texts = ["", " ", "a", "a b c d", "a b c d e", "A  b\tc d E f"] + [" ".join(rng.choice(["a", "bé", "ccc", "d"]) for _ in range(n)) for n in (5, 6, 11, 12, 13, 60, 300)]
+    hashes, size = nearcopies.shingle_sets([t.encode() for t in texts])
+    assert size.tolist() == [len(brute_set(t)) if t.split() else 0 for t in texts]
+    ends = np.cumsum(size)
+    sets = [hashes[e - n : e] for e, n in zip(ends, size)]
+    for t, own in zip(texts, sets):
+        assert (np.diff(own.astype(object)) > 0).all()
+        for i in range(len(texts)):
+            both = brute_set(t) & brute_set(texts[i]) if t.split() and texts[i].split() else set()
+            assert len(np.intersect1d(own, sets[i])) == len(both)
+    keys = nearcopies.band_keys(hashes, size)
+    fps = nearcopies.fingerprints(hashes, size, chunk=16)
+    for own, k, fp in zip(sets, keys, fps):
+        assert len(k) == (nearcopies.BANDS if len(own) else 0)
+        alone = np.array([len(own)])
+        assert k == nearcopies.band_keys(own, alone)[0]
+        wide = [int(x) for h in own for x in [int.from_bytes(nearcopies._mixed_bits(np.array([h], np.uint64)[:, None] * nearcopies._WORD).tobytes(), "little")]]
+        want = sum(1 << b for b in range(nearcopies.BITS) if 2 * sum(w >> b & 1 for w in wide) > len(wide))
+        assert int.from_bytes(fp.tobytes(), "little") == want
+
+
+def test_similar_sets_are_within_the_radius():
+    """Of pairs at a similarity of 0.8 and a little more none is further apart than the radius."""
+    rng = np.random.default_rng(3)
+    for n in (9, 45, 200, 900):
+        common = rng.integers(0, 2**63, (200, n), dtype=np.uint64)
+        more = rng.integers(0, 2**63, (200, 2, max(1, n // 8)), dtype=np.uint64)
+        for c, (a, b) in zip(common, more):
+            x, y = (nearcopies.fingerprints(np.sort(np.concatenate([c, o])), np.array([len(c) + len(o)]))[0].view(np.uint64) for o in (a, b))
+            assert np.bitwise_count(x ^ y).sum() <= nearcopies.RADIUS
+
+
+def test_forest_spans_what_is_near():
+    rng = np.random.default_rng(9)
+    i, j = np.triu_indices(40, 1)
+    keep = rng.random(len(i)) < 0.08
+    i, j, root = i[keep], j[keep], np.arange(40) // 2
+    a, b = nearcopies.spanning(i, j, rng.integers(0, 9, len(i)), root)
+    whole = simhash.least_along(40, np.concatenate([i, np.arange(0, 40, 2)]), np.concatenate([j, np.arange(1, 40, 2)]))
+    forest = simhash.least_along(40, np.concatenate([a, np.arange(0, 40, 2)]), np.concatenate([b, np.arange(1, 40, 2)]))
+    assert (whole == forest).all() and len(a) == len(np.unique(root)) - len(np.unique(whole))
+
+
 def planted():
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghé") for _ in range(rng.randint(3, 8)))

@@ -54,6 +54,21 @@ def test_combination_is_associative():
     assert pieces.combined(pieces.combined(a, b), c) == pieces.combined(a, pieces.combined(b, c)) == {("s", 4): -0.5}
 
 
+def test_a_text_of_many_real_chunks(spark, piece, monkeypatch):
+    """Over the real chunk size, in several segments of the scan, without a space for a chunk and more."""
+    monkeypatch.setattr(pieces, "SEGMENT", 2)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9)))
+    texts = [" ".join(word() for _ in range(14_000)), "x" * 16_384, "ab" * 8_191 + " c", "".join(word() for _ in range(4_000)), " ".join(word() for _ in range(3_270))]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (0, texts[0])]
+    got = pieces.decode(pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    for i, t in enumerate(texts):
+        own = sorted({(r["chunk"], bytes(r["ids"]), r["text"]) for r in got if r["doc_id"] == i})
+        assert [x for _, ids, _ in own for x in np.frombuffer(ids, "<u2").tolist()] == piece.library.encode(t) and "".join(x for _, _, x in own) == " " + t
+    assert max(r["chunk"] for r in got) >= 3
+    assert pieces.encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0 == pieces.report(spark.createDataFrame([], "doc_id long, text string")).count()
+
+
 def test_encoded_documents(spark, piece):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, "x"), (50, None), (51, "word " * 90 + "<"), (51, "word " * 90 + "<")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
