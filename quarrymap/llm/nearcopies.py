@@ -15,12 +15,12 @@ families (a pair at 0.8 shares no block with a chance of 7 in a million, at 0.85
 carry-save counters, abandoned cells, tiles, spanning links, large-star and
 small-star components.
 
-Equal sets are collapsed first. In two rounds every side of a block gives a
-spanning forest of its near fingerprints, nearest first, between sets that are in
-different components; the whole sets of each link decide, so a large group of
-copies collapses by about as many decisions as it has members. In a last round
-all sides of the blocks that still hold more than one component meet, and every
-near pair across components that has not been decided is.
+Equal sets are collapsed first. Then every side of a block gives a spanning
+forest of its near fingerprints, nearest first, and the whole sets of each link
+decide, so a large group of copies collapses by about as many decisions as it has
+members. Last, all sides of the blocks that still hold more than one component
+meet, with their sets: a tile decides its near pairs across components itself,
+each in the first block that a pair shares, and again returns spanning links only.
 
 Defined results: texts without words are equal; of rows equal in id and text one
 stays; rows with one id and different texts are documents of their own; rows
@@ -30,7 +30,6 @@ without an id stay; an empty table gives no rows; other columns are as they were
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, forget, map_columns, release, stage, tidy
-from .simhash import components, in_tiles, near_in_tiles, tiles
+from .common import byte_texts, forget, map_columns, release, sliced, stage, tidy
+from .simhash import TILE, by_tile, components, in_tiles, near_in_tiles, tiles
 
 SHINGLE, PERCENT = 5, 80
 BANDS, WIDTH = 30, 5
 BITS, RADIUS = 256, 64
-#: Rounds with one spanning forest a side, before all pairs that are left.
-FORESTS = 2
+#: Bytes of the sets on a side of a tile that decides by sets.
+SIDE_BYTES = 2 << 20
 
 _RNG = np.random.default_rng(42)
 #: A random number for each byte value, and odd numbers: of the rolling hash, of the families and of the fingerprint's words.
@@ -190,20 +189,73 @@ def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_columns(met, run, ["node", "n", "keys"], "fp binary, hashes array<bigint>")
 
 
-def _forest(batches: Iterator[pa.RecordBatch], percent: int, whole: bool) -> Iterator[pa.RecordBatch]:
-    """(u, v) of the near pairs of every tile that are in different components: all of them if ``whole``, else those of a spanning forest, nearest first."""
-    for key, node, n, root, second, fp in tiles(batches, ("tile", "node", "n", "root", "second", "fp")):
-        lanes = np.frombuffer(b"".join(fp.tolist()), np.uint64).reshape(-1, BITS // 64)
-        for i, j in near_in_tiles(key, second, lanes, RADIUS, root):
-            # sets of these sizes can be similar enough
-            fits = (root[i] != root[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-            i, j = i[fits], j[fits]
-            if not whole and len(i):
-                i, j = spanning(i, j, np.bitwise_count(lanes[i] ^ lanes[j]).sum(1), root)
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[i], node[j]), pa.int64()), pa.array(np.minimum(node[i], node[j]), pa.int64())], names=["u", "v"])
+def _near(key, node, n, root, second, fp, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) of the near pairs of a run of tiles that are in different components and of sizes that can be similar enough."""
+    lanes = np.frombuffer(b"".join(fp.tolist()), np.uint64).reshape(-1, BITS // 64)
+    for i, j in near_in_tiles(key, second, lanes, RADIUS, root):
+        fits = (root[i] != root[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        i, j = i[fits], j[fits]
+        if len(i):
+            yield i, j, np.bitwise_count(lanes[i] ^ lanes[j]).sum(1)
+
+
+def _links(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(node[i], node[j]), pa.int64()), pa.array(np.minimum(node[i], node[j]), pa.int64())], names=["u", "v"])
+
+
+_TILED = ("tile", "node", "n", "root", "second", "fp")
+
+
+def _forest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(u, v) of a spanning forest of the near pairs of every tile, nearest first."""
+    for key, node, n, root, second, fp in tiles(batches, _TILED):
+        for i, j, distance in _near(key, node, n, root, second, fp, percent):
+            yield _links(node, *spanning(i, j, distance, root))
+    release()
+
+
+def _verified(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(u, v) of links that span what the near pairs of every tile connect, decided by their sets."""
+    for key, node, n, root, second, fp, band, keys, sets in tiles(sliced(batches, 256), (*_TILED, "band", "keys", "hashes")):
+        shared = np.stack(keys.tolist())
+        for i, j, _ in _near(key, node, n, root, second, fp, percent):
+            first = ~((shared[i] == shared[j]) & (np.arange(BANDS) < band[i][:, None])).any(1)
+            yield _links(node, *similar(i[first], j[first], n, root, sets, percent))
     release()
 
 
+def similar(i: np.ndarray, j: np.ndarray, n: np.ndarray, root: np.ndarray, sets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (i, j) enough similar ones to connect, over components ``root``, all that any of them connects."""
+    if not len(i):
+        return i, j
+    rows = np.unique(np.concatenate([i, j]))
+    _, ids = np.unique(np.concatenate(sets[rows].tolist()), return_inverse=True)
+    ends = np.cumsum(n[rows])
+    own = dict(zip(rows.tolist(), np.split(ids, ends[:-1])))
+    mark = np.zeros(int(ids.max()) + 1, bool)
+    _, label = np.unique(root, return_inverse=True)
+    label = label.copy()
+    kept: list[tuple[int, int]] = []
+    order = np.lexsort((j, i))
+    i, j = i[order], j[order]
+    edge = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])).tolist()
+    for a, b in zip(edge, [*edge[1:], len(i)]):
+        x, others = int(i[a]), j[a:b]
+        others = others[label[others] != label[x]]
+        if not len(others):
+            continue
+        mark[own[x]] = True
+        inside = mark[np.concatenate([own[y] for y in others.tolist()])]
+        both = np.add.reduceat(inside, np.cumsum(n[others]) - n[others], dtype=np.int64)
+        mark[own[x]] = False
+        for y in others[(100 + percent) * both >= percent * (n[x] + n[others])].tolist():
+            if label[y] != label[x]:
+                label[label == label[y]] = label[x]
+                kept.append((x, y))
+    pairs = np.array(kept, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
 def spanning(i: np.ndarray, j: np.ndarray, distance: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the links (i, j) those of a spanning forest over components ``root``, nearest first."""
     _, at = np.unique(root, return_inverse=True)
@@ -235,11 +287,9 @@ def _decided(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(u, "u").join(v, "v").select("u", "v", ((100 + percent) * both >= percent * size).alias("near"))
 
 
-def _open_blocks(met: DataFrame, found: DataFrame | None) -> DataFrame:
-    """(key, node, n, fp, root) of the blocks that hold more than one component."""
-    if found is None:
-        return met.withColumn("root", F.col("node"))
-    rooted = met.join(found, met["node"] == found["u"], "left").select("key", "node", "n", "fp", F.coalesce("root", "node").alias("root"))
+def _open_blocks(met: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, band, node, n, fp, root) of the blocks that hold more than one component."""
+    rooted = met.join(found, met["node"] == found["u"], "left").select("key", "band", "node", "n", "fp", F.coalesce("root", "node").alias("root"))
     return rooted.join(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "key")
 
 
@@ -247,32 +297,34 @@ def components_of(reps: DataFrame, documents: DataFrame, percent: int = PERCENT)
     """(u, root) of the nodes of ``reps`` (node, rep, n, keys) that are near copies of a smaller one, directly or by others."""
     spark = reps.sparkSession
     bands = reps.select("node", F.explode("keys").alias("key"))
-    shared = stage(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    shared = stage(bands.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "shared")
     wanted = bands.join(shared, "key", "left_semi").select("node").distinct()
     sets = stage(_sets(documents, reps.join(wanted, "node", "left_semi")), "sets")
-    met = stage(sets.select("node", "n", "fp", F.explode("keys").alias("key")).join(shared, "key", "left_semi"), "blocks")
+    met = stage(sets.select("node", "n", "fp", F.posexplode("keys").alias("band", "key")).join(shared.select("key"), "key", "left_semi"), "blocks")
+    tidy(spark)
+
+    sides = shared.select("key", F.ceil(F.col("held") / TILE).cast("int").alias("sides"))
+    dealt = by_tile(in_tiles(met.withColumn("root", F.col("node")), sides, F.xxhash64("node"), "node", "n", "root", "fp", across=False))
+    forest = dealt.mapInArrow(lambda b: _forest(b, percent), "u bigint, v bigint").distinct()
+    links = stage(_decided(forest, sets, percent).where("near").select("u", "v"), "forest")
     forget(shared)
+    found = components(links)
     tidy(spark)
-    tested: list[DataFrame] = []
-    found = None
-    for turn in range(FORESTS + 1):
-        whole = turn == FORESTS
-        own = stage(_open_blocks(met, found), "open")
-        if own.isEmpty():
-            break
-        counts = own.groupBy("key").agg(F.count("*").alias("in_block"))
-        dealt = in_tiles(own, counts, F.xxhash64("node", F.lit(turn)), "node", "n", "root", "fp", across=whole)
-        pairs = dealt.mapInArrow(lambda b, w=whole: _forest(b, percent, w), "u bigint, v bigint").distinct()
-        for before in tested:
-            pairs = pairs.join(before, ["u", "v"], "left_anti")
-        tested.append(stage(_decided(pairs, sets, percent), "decided"))
-        forget(own)
-        if found is not None:
-            forget(found)
-        found = components(reduce(DataFrame.unionByName, tested).where("near").select("u", "v"))
+
+    own = stage(_open_blocks(met, found), "open")
+    forget(met)
+    if not own.isEmpty():
+        # sides of so many sets, and of so many bytes of them
+        size = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") * 8 / SIDE_BYTES)).cast("int").alias("sides")
+        dealt = in_tiles(own, own.groupBy("key").agg(size), F.xxhash64("node"), "node", "n", "root", "fp", "band")
+        dealt = by_tile(dealt.join(sets.select("node", "keys", "hashes"), "node"))
+        more = stage(dealt.mapInArrow(lambda b: _verified(b, percent), "u bigint, v bigint").distinct(), "verified")
+        forget(found)
+        found = components(links.union(more))
+        forget(more)
         tidy(spark)
-    forget(sets, met, *tested)
-    return found if found is not None else spark.createDataFrame([], "u bigint, root bigint")
+    forget(sets, own, links)
+    return found
 
 
 def keep_one(documents: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -310,20 +310,21 @@ def _keys(radius: int, agree: int) -> list:
 
 
 def in_tiles(blocks: DataFrame, counts: DataFrame, spread, *columns: str, across: bool = True) -> DataFrame:
-    """Rows of shared blocks (key, columns) -> (tile, second, columns), dealt and sorted by tile.
+    """Rows of shared blocks (key, columns) -> (tile, second, columns).
 
-    ``counts`` (key, in_block) has the blocks' sizes, ``spread`` is a hash that
-    deals a block's rows over its sides. A tile holds one side (``second`` is 0),
-    or two if sides meet (``across``).
+    ``counts`` (key, sides) says how many sides a block has, ``spread`` is a hash
+    that deals its rows over them. A tile holds one side (``second`` is 0), or two
+    if sides meet (``across``).
     """
-    met = blocks.join(counts, "key")
-    sides = F.ceil(F.col("in_block") / TILE).cast("int")
-    met = met.withColumn("sides", sides).withColumn("side", F.pmod(spread, F.col("sides")).cast("int"))
+    met = blocks.join(counts, "key").withColumn("side", F.pmod(spread, F.col("sides")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("sides") - 1) if across else F.array("side")).alias("other")
     low, high = F.least("side", "other"), F.greatest("side", "other")
-    dealt = met.select("key", "side", other, *columns).select(F.xxhash64("key", low, high).alias("tile"), ((F.col("side") == high) & (low != high)).cast("int").alias("second"), *columns)
-    n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "tile").sortWithinPartitions("tile")
+    return met.select("key", "side", other, *columns).select(F.xxhash64("key", low, high).alias("tile"), ((F.col("side") == high) & (low != high)).cast("int").alias("second"), *columns)
+
+
+def by_tile(rows: DataFrame) -> DataFrame:
+    """Rows dealt and sorted by tile."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tile").sortWithinPartitions("tile")
 
 
 def links(fps: DataFrame, radius: int = 3, agree: int = 2) -> DataFrame:
@@ -331,9 +332,8 @@ def links(fps: DataFrame, radius: int = 3, agree: int = 2) -> DataFrame:
     if not (0 <= radius and 1 <= agree and radius + agree <= 64):
         raise ValueError("radius and agreeing groups don't fit 64 bits")
     blocks = fps.select("fp", F.explode(F.array(*_keys(radius, agree))).alias("key"))
-    shared = blocks.groupBy("key").agg(F.count("*").alias("in_block")).where("in_block > 1")
-    dealt = in_tiles(blocks, shared, F.xxhash64("fp"), "fp")
-    return dealt.mapInArrow(lambda b: _linked(b, radius), "u bigint, v bigint").distinct()
+    shared = blocks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("sides"))
+    return by_tile(in_tiles(blocks, shared, F.xxhash64("fp"), "fp")).mapInArrow(lambda b: _linked(b, radius), "u bigint, v bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

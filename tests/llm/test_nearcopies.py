@@ -67,6 +67,38 @@ def test_forest_spans_what_is_near():
     assert (whole == forest).all() and len(a) == len(np.unique(root)) - len(np.unique(whole))
 
 
+def test_similar_connects_what_is_similar():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**62, (4, 60))
+    sets = np.empty(50, object)
+    for k in range(50):
+        fresh = rng.integers(0, 2**62, rng.integers(0, 9))
+        sets[k] = np.unique(np.concatenate([base[k % 4][len(fresh) :], fresh]))
+    n, root = np.array([len(x) for x in sets]), np.arange(50) // 2
+    i, j = np.triu_indices(50, 1)
+    near = [(a, b) for a, b in zip(i, j) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+    pairs = np.arange(0, 50, 2)
+    a, b = nearcopies.similar(i, j, n, root, sets, 80)
+    want = simhash.least_along(50, np.concatenate([[x for x, _ in near], pairs]), np.concatenate([[y for _, y in near], pairs + 1]))
+    got = simhash.least_along(50, np.concatenate([a, pairs]), np.concatenate([b, pairs + 1]))
+    assert (want == got).all() and len(a) == 25 - len(np.unique(got)) and set(zip(a, b)) <= set(near)
+
+
+def test_a_group_that_is_near_but_not_similar(spark, monkeypatch):
+    """Hundreds of texts that differ by a little too much: decided in tiles of few sets, and all of them stay."""
+    monkeypatch.setattr(nearcopies, "SIDE_BYTES", 9000)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(0, " ".join(base), None)]
+    for i in range(1, 150):
+        words = list(base)
+        for at in rng.sample(range(2, 98), 5 if i < 140 else 1):
+            words[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(words), None))
+    kept = [r["doc_id"] for r in nearcopies.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(kept) == brute_kept(rows) and len(kept) > 100
+
+
 def planted():
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghé") for _ in range(rng.randint(3, 8)))
