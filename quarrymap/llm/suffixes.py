@@ -546,7 +546,7 @@ def remove_repeats(documents: DataFrame, as_text: bool = False) -> DataFrame:
     known_hot = spark.sparkContext.broadcast(np.sort(np.array(hot, np.int64).view(np.uint64)))
 
     # 3. what each batch of documents asks, and the answers
-    batches = max(1, data_bytes // PACK + 1)
+    batches = max(tasks, data_bytes // PACK + 1)
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch")
     nothing = {"anchor": "bigint", "c_id": "bigint", "digest": "string", "answer": "binary"}
 
