@@ -29,10 +29,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, column_of, held_out, labelled, map_columns
+from .common import byte_texts, column_of, held_out, labelled, map_columns, release
 
 
 @dataclass(frozen=True)
@@ -222,18 +223,24 @@ def fit(documents: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityPar
     # at most max_train_docs ids are broadcast; the least text of an id, met before it is moved
     texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.any_value("y").alias("y"))
 
-    def bags(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        made = [averaged(t, p) for t in byte_texts(batch.column("text"))]
-        return {name: pa.array([b[i].tobytes() for b in made], pa.binary()) for i, name in enumerate(("buckets", "shares"))}
-
-    got = map_columns(texts, bags, ["doc_id", "y"], "buckets binary, shares binary").toArrow()
-    distinct: dict[tuple[bytes, bytes], int] = {}  # of copies one, under the least id
+    got = map_columns(texts, lambda b: {"bag": pa.array([_squeezed(*averaged(t, p)) for t in byte_texts(b.column("text"))], pa.binary())}, ["doc_id", "y"], "bag binary").toArrow()
+    distinct: dict[bytes, int] = {}  # of copies one, under the least id
     for i in np.argsort(np.asarray(got.column("doc_id")), kind="stable").tolist():
-        distinct.setdefault((got.column("buckets")[i].as_py(), got.column("shares")[i].as_py()), got.column("y")[i].as_py())
+        distinct.setdefault(got.column("bag")[i].as_py(), got.column("y")[i].as_py())
     del got
     total = sum(count.values())
-    own = [(np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for b, s in distinct]
-    return train(own, np.array(list(distinct.values()), int), count.get(1, 0) / total if total else 0.0, p)
+    model = train(list(map(_unsqueezed, distinct)), np.array(list(distinct.values()), int), count.get(1, 0) / total if total else 0.0, p)
+    release()
+    return model
+
+
+def _squeezed(buckets: np.ndarray, shares: np.ndarray) -> bytes:
+    return zstandard.compress(np.diff(buckets, prepend=0).astype("<u4").tobytes() + shares.astype("<f4").tobytes())
+
+
+def _unsqueezed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, shares = np.split(np.frombuffer(zstandard.decompress(raw), "<u4"), 2)
+    return np.cumsum(steps, dtype=np.int32), shares.view("<f4")
 
 
 _CACHED: list = [None, {}]
