@@ -38,10 +38,10 @@ def _with_ending(stem: Column, ending: Column) -> Column:
 
 
 def import_candidates(rows: DataFrame) -> DataFrame:
-    """Adds ``candidates``: the paths that ``module`` may name in the file ``source``, best first."""
+    """Adds ``candidates``: the paths that ``module`` may name in a file of ``folder``, best first."""
     module, rest = F.col("module"), lstrip_chars(F.col("module"), ".")
     level = F.char_length(module) - F.char_length(rest)
-    up = F.split(dirname(F.col("source")), "/")
+    up = F.split(F.col("folder"), "/")
     base = F.array_join(F.slice(up, F.lit(1), F.greatest(F.size(up) - (level - 1), F.lit(0))), "/")
     inner = F.replace(rest, F.lit("."), F.lit("/"))
     near = F.startswith(module, F.lit("."))
@@ -64,11 +64,17 @@ def first_existing(rows: DataFrame, key: list[str], paths: DataFrame) -> DataFra
 
 
 def import_edges(files: DataFrame, paths: DataFrame) -> DataFrame:
-    """(source, target, relation_type, details, pos) of code files (path, category, imports, import_sources)."""
+    """(source, target, relation_type, details, pos) of code files (path, category, imports, import_sources).
+
+    What a module names depends on the module, and on the file's folder if it is
+    relative: each such pair is resolved once, however many files import it.
+    """
     each = files.where("category = 'code'").select(F.col("path").alias("source"), "imports", F.posexplode("import_sources").alias("pos", "module"))
     text = F.get(F.filter("imports", lambda i: F.contains(i, F.col("module"))), F.lit(0))
-    rows = import_candidates(each.select("source", "pos", "module", F.coalesce(text, F.concat(F.lit("imports from "), F.col("module"))).alias("details")))
-    met = first_existing(rows, ["source", "pos", "details"], paths).where("target <> source")
+    folder = F.when(F.startswith("module", F.lit(".")), dirname(F.col("source"))).otherwise(F.lit(""))
+    rows = each.select("source", "pos", "module", folder.alias("folder"), F.coalesce(text, F.concat(F.lit("imports from "), F.col("module"))).alias("details"))
+    known = first_existing(import_candidates(rows.select("module", "folder").distinct()), ["module", "folder"], paths)
+    met = rows.join(known, ["module", "folder"]).where("target <> source")
     return met.select("source", "target", F.lit("imports").alias("relation_type"), "details", "pos")
 
 
@@ -113,9 +119,27 @@ def deduplicated(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source", "target", "relation_type").agg(F.min(F.struct("pos", "details")).alias("first")).select("source", "target", "relation_type", F.col("first.details").alias("details"), F.col("first.pos").alias("pos"))
 
 
-def all_edges(files: DataFrame, paths: DataFrame | None = None) -> DataFrame:
-    """All edges of analysed files (path, category, content, imports, import_sources, references), first of equals."""
+#: Paths that are broadcast at most.
+FEW_PATHS = 10_000
+
+
+def touching(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """The edges with a target (path) at either end; targets are broadcast only if a count shows that they are few."""
+    ends = targets.select(F.col("path").alias("end_path")).distinct()
+    few = ends.limit(FEW_PATHS + 1).count() <= FEW_PATHS
+    out = edges
+    for side in ("source", "target"):
+        own = ends.withColumnRenamed("end_path", f"{side}_end")
+        out = out.join(F.broadcast(own) if few else own, F.col(side) == F.col(f"{side}_end"), "left")
+    return out.where("source_end IS NOT NULL OR target_end IS NOT NULL").drop("source_end", "target_end")
+
+
+def all_edges(files: DataFrame, paths: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """All edges of analysed files (path, category, content, imports, import_sources, references), first of equals.
+
+    With ``targets`` (path) those that touch one of them, chosen before equal edges are met.
+    """
     paths = files.select("path") if paths is None else paths
     made = [f(files, paths) for f in (import_edges, reference_edges, test_edges, document_edges)]
     union = made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3])
-    return deduplicated(union)
+    return deduplicated(union if targets is None else touching(union, targets))

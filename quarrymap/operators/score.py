@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymap.functions.text import strip, strip_chars
@@ -44,6 +44,42 @@ def best(nodes: DataFrame, question: Column, n: int = 20) -> DataFrame:
     return scored(nodes, question).orderBy(F.col("score").desc(), "node_ord").limit(n)
 
 
+#: Questions that are scored against all nodes in one pass.
+QUESTIONS = 256
+
+
+def best_for_all(questions: DataFrame, nodes: DataFrame, n: int = 20) -> DataFrame:
+    """(question_id, rank, score and the nodes' columns): the ``n`` best nodes for each question (question_id, question).
+
+    Questions go to the nodes in blocks of ``QUESTIONS``: a node is read once a
+    block and scored for each of its questions, and every task keeps ``n`` rows a question.
+    """
+    spark = questions.sparkSession
+    asked = questions.select("question_id", "question").orderBy("question_id").toLocalIterator()
+    out, block, names = None, [], nodes.columns
+    order = Window.partitionBy("question_id").orderBy(F.col("score").desc(), "node_ord")
+
+    def scored_block() -> DataFrame:
+        few = spark.createDataFrame(block, questions.select("question_id", "question").schema)
+        all_of = few.agg(F.collect_list(F.struct("question_id", question_words(F.col("question")).alias("words"))).alias("asked")).collect()[0]["asked"]
+        kind = few.schema["question_id"].dataType
+        each = F.array(*[F.struct(F.lit(q["question_id"]).cast(kind).alias("question_id"), F.array(*[F.lit(w) for w in q["words"]]).cast("array<string>").alias("words")) for q in all_of])
+        rows = nodes.select(*names, F.explode(each).alias("q"))
+        points = relevance(F.col("q.words"), F.col("path"), F.col("key_topics"), F.col("exports"))
+        rows = rows.select(F.col("q.question_id").alias("question_id"), points.alias("score"), *names)
+        return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+    for q in asked:
+        block.append(q)
+        if len(block) == QUESTIONS:
+            own, block = scored_block(), []
+            out = own if out is None else out.unionByName(own)
+    if block or out is None:
+        own = scored_block() if block else nodes.withColumns({"question_id": F.lit(None).cast(questions.schema["question_id"].dataType), "score": F.lit(0), "rank": F.lit(1)}).where("false")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def fuzzy_paths(names: DataFrame, nodes: DataFrame) -> DataFrame:
     """(name, path): a known name as it is, else the first path in map order that contains it or is contained in it.
 

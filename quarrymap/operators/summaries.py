@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymap.functions.paths import walk_key
 from quarrymap.functions.text import empty_strings, first_n, lines, strip, truncated
+from quarrymap.operators.numbering import numbered
 from quarrymap.settings import Settings
 
 # The prompts' wording.
@@ -96,16 +97,24 @@ def parsed_batch_reply(reply: str, count: int) -> list[tuple[str, list[str]]]:
     return (entries + [(NO_SUMMARY, [])] * count)[:count]
 
 
+def batch_entries(reply: Column | str, count: Column | str) -> Column:
+    """(summary, topics) of each file of a reply about several."""
+
+    @F.pandas_udf("array<struct<summary: string, topics: array<string>>>")
+    def entries(reply: pd.Series, count: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else [{"summary": s, "topics": t} for s, t in parsed_batch_reply(r, n)] for r, n in zip(reply, count)])
+
+    return entries(reply, count)
+
+
 def batched(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Adds ``batch`` and ``slot``: small files by fives in walk order; large files alone, before them (batch null).
 
-    Small files are numbered in one ordered pass over their paths only; the
-    numbers are joined back, so texts are not moved through it.
+    Small files are numbered in two passes over their paths only; the numbers are
+    joined back, so texts are not moved through it.
     """
     small = (F.col("size_bytes") <= settings.small_file_bytes) & F.lit(settings.batch_small_files)
-    in_order = Window.orderBy(walk_key(F.col("path")))
-    numbered = files.where(small).select("path").withColumn("n", F.row_number().over(in_order) - 1)
-    places = numbered.select(F.col("path").alias("small_path"), F.floor(F.col("n") / settings.batch_files).cast("bigint").alias("batch"), (F.col("n") % settings.batch_files).cast("int").alias("slot"))
+    places = numbered(files.where(small).select("path"), [walk_key(F.col("path"))], "n").select(F.col("path").alias("small_path"), F.floor(F.col("n") / settings.batch_files).cast("bigint").alias("batch"), (F.col("n") % settings.batch_files).cast("int").alias("slot"))
     return files.join(places, F.col("path") == F.col("small_path"), "left").drop("small_path")
 
 
@@ -146,13 +155,9 @@ def summarised(files: DataFrame, model: Callable[[str], str], settings: Settings
     alone = replies(dealt.where("batch IS NULL").select("path", single_prompt().alias("prompt")), model)
     alone = alone.select(F.col("path").alias("s_path"), F.when(F.col("reply").isNotNull(), summary).alias("summary"), F.when(F.col("reply").isNotNull(), topics).alias("key_topics"))
 
-    @F.pandas_udf("array<struct<summary: string, topics: array<string>>>")
-    def in_batch(reply: pd.Series, count: pd.Series) -> pd.Series:
-        return pd.Series([None if r is None else [{"summary": s, "topics": t} for s, t in parsed_batch_reply(r, n)] for r, n in zip(reply, count)])
-
     groups = replies(batch_prompts(dealt), model)
     one = F.array(F.struct(summary.alias("summary"), topics.alias("topics")))
-    told = groups.withColumn("entries", F.when(F.col("n") == 1, F.when(F.col("reply").isNotNull(), one)).otherwise(in_batch("reply", "n")))
+    told = groups.withColumn("entries", F.when(F.col("n") == 1, F.when(F.col("reply").isNotNull(), one)).otherwise(batch_entries("reply", "n")))
     each = told.select("entries", F.posexplode("paths").alias("slot", "s_path")).select("s_path", F.get("entries", F.col("slot")).alias("entry"))
     together = each.select("s_path", F.col("entry.summary").alias("summary"), F.col("entry.topics").alias("key_topics"))
     out = dealt.join(alone.union(together), F.col("path") == F.col("s_path"), "left").drop("s_path")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrymap.functions.paths import basename, suffix, walk_key
 from quarrymap.functions.text import matches_glob
+from quarrymap.operators.numbering import numbered
 from quarrymap.settings import Settings
 
 
@@ -64,7 +65,8 @@ def indexable(files: DataFrame, patterns: list[str] | None = None, settings: Set
 
 
 def in_walk_order(files: DataFrame) -> DataFrame:
-    return files.orderBy(walk_key(F.col("relative_path")))
+    """Adds ``walk_ord``: the place of each file in a depth-first walk with sorted listings, from 0."""
+    return numbered(files, [walk_key(F.col("relative_path"))], "walk_ord")
 
 
 def tree_entries(files: DataFrame) -> DataFrame:

@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymap.functions.binary_documents import binary_structure
 from quarrymap.functions.paths import walk_key
-from quarrymap.operators import context, diff, edges, extract, graph, score, summaries, walk
+from quarrymap.operators import context, diff, edges, extract, graph, summaries, walk
+from quarrymap.operators.numbering import made_once, numbered
+from quarrymap.plans import asking
 from quarrymap.settings import IndexingError, MapMissingError, NoModelError, Settings
 from quarrymap.sources import project, store
-from quarrymap.sources.store import EDGES, NODES, MapMeta, ProjectMap
+from quarrymap.sources.store import NODES, MapMeta, ProjectMap
 
-# What is said where there is nothing to say.
-EMPTY_MAP = "Knowledge Map is empty."
-NO_FILES = "I could not identify any relevant files in the project to answer this question."
-NO_REASON = "No reasoning provided."
+
+_NODE_COLUMNS = [c.split()[0] for c in NODES.split(", ")]
 
 
 @dataclass
@@ -84,18 +83,16 @@ class QuarryMap:
             meta.directory_tree = store.nested_tree([tuple(r) for r in tree])
             before = old.nodes if old else self.spark.createDataFrame([], NODES)
             fresh = diff.to_process(before, found)
-            made = self.spark.createDataFrame(self._nodes(fresh, now).collect(), NODES)  # the model isn't asked twice
+            made = made_once(self._nodes(fresh, now))  # the model isn't asked twice
             kept = before.join(found.select(F.col("path").alias("here")), F.col("path") == F.col("here"), "left_semi")
             # a changed file keeps its place, a new one goes to the end
             place = before.select(F.col("path").alias("old_path"), F.col("node_ord").alias("old_ord"))
             placed = made.join(place, F.col("path") == F.col("old_path"), "left")
             rows = kept.join(made.select(F.col("path").alias("made_path")), F.col("path") == F.col("made_path"), "left_anti").withColumn("order", F.struct(F.lit(0).alias("a"), F.col("node_ord").alias("b")))
             rows = rows.unionByName(placed.withColumn("order", F.struct(F.when(F.col("old_ord").isNull(), F.lit(1)).otherwise(F.lit(0)).alias("a"), F.coalesce("old_ord", "node_ord").alias("b"))).drop("old_path", "old_ord"))
-            nodes = rows.withColumn("node_ord", F.row_number().over(Window.orderBy("order")) - F.lit(1).cast("bigint")).drop("order")
-            nodes = self.spark.createDataFrame(nodes.collect(), NODES)  # a project's map is a document
+            nodes = made_once(numbered(rows.drop("node_ord"), [F.col("order")], "node_ord").select(*_NODE_COLUMNS))
             changed, gone = made.count(), diff.deleted(before, found).count()
-            links = self.edges_of(found) if changed or gone or old is None else old.edges
-            links = self.spark.createDataFrame(links.collect(), EDGES)
+            links = made_once(self.edges_of(found) if changed or gone or old is None else old.edges)
             if not meta.project_summary or changed / max(1, meta.total_files) > 0.1:
                 meta.project_summary = self._project_summary(nodes)
         finally:
@@ -105,17 +102,15 @@ class QuarryMap:
         return self.map
 
     def _nodes(self, fresh: DataFrame, now: str) -> DataFrame:
-        told = summaries.summarised(fresh, self.model, self.settings).withColumn("last_indexed", F.lit(now))
-        order = Window.orderBy("insert_ord")
-        return told.withColumn("node_ord", F.row_number().over(order) - F.lit(1).cast("bigint")).select(*[c.split()[0] for c in NODES.split(", ")])
+        told = made_once(summaries.summarised(fresh, self.model, self.settings)).withColumn("last_indexed", F.lit(now))
+        return numbered(told, [F.col("insert_ord")], "node_ord").select(*_NODE_COLUMNS)
 
     @staticmethod
     def edges_of(found: DataFrame) -> DataFrame:
         """All edges in the order of their files and kinds."""
         made = edges.all_edges(found)
         kind = F.array_position(F.array(*[F.lit(k) for k in edges.KINDS]), F.col("relation_type"))
-        order = Window.orderBy(walk_key(F.col("source")), kind, "pos", "target")
-        return made.withColumn("emit_ord", F.row_number().over(order) - F.lit(1).cast("bigint")).select("source", "target", "relation_type", "details", "emit_ord")
+        return numbered(made, [walk_key(F.col("source")), kind, F.col("pos"), F.col("target")], "emit_ord").select("source", "target", "relation_type", "details", "emit_ord")
 
     def _project_summary(self, nodes: DataFrame) -> str:
         try:
@@ -132,62 +127,44 @@ class QuarryMap:
 
     def route(self, question: str, project_map: ProjectMap) -> tuple[list[str], str]:
         """The files that answer best, as the model picks them from the candidates, and why."""
-        nodes = project_map.nodes
-        size = nodes.limit(self.settings.small_map + 1).count()
-        if not size:
-            return [], EMPTY_MAP
-        columns = ["path", "summary", F.col("key_topics").alias("topics")]
-        if size <= self.settings.small_map:
-            rows = nodes.orderBy("node_ord").select("path", F.col("file_type").alias("type"), "summary", F.col("key_topics").alias("topics"), F.slice("exports", 1, 10).alias("exports")).collect()
-        else:
-            rows = score.best(nodes, F.lit(question), self.settings.candidates).select(*columns).collect()
-        candidates = [r.asDict() for r in rows]
+        if project_map.nodes.isEmpty():
+            return [], context.EMPTY_MAP
+        asked = self.spark.createDataFrame([(0, question)], "question_id int, question string")
+        prompt = asking.route_prompts(asked, project_map.nodes, self.settings).collect()[0]
         try:
-            reply = self.model(context.route_prompt(question, json.dumps(candidates, indent=2), self.settings.routed_files))
+            said = (self.model(prompt["prompt"]), None)
         except Exception as e:
-            return [c["path"] for c in candidates[: self.settings.routed_files]], f"LLM routing failed ({e}), using keyword matching fallback."
-        return self.parsed_route(reply, nodes)
-
-    def parsed_route(self, reply: str, nodes: DataFrame) -> tuple[list[str], str]:
-        names, reason = route_names(reply)
-        if names:
-            met = {r["name"]: r["path"] for r in score.fuzzy_paths(self.spark.createDataFrame([(n,) for n in names], "name string"), nodes).collect()}
-            names = list(dict.fromkeys(met[n] for n in names if n in met))
-        return names[: self.settings.routed_files], reason
+            said = (None, str(e))
+        reply = self.spark.createDataFrame([(0, prompt["paths"], *said)], "question_id int, paths array<string>, reply string, error string")
+        chosen = asking.routed(reply, project_map.nodes, self.settings).orderBy("ord").collect()
+        why = reply.select(context.route_reason(F.col("reply")).alias("why")).collect()[0]["why"]
+        return [r["path"] for r in chosen], chosen[0]["reasoning"] if chosen else why
 
     def ask(self, question: str, project_path: str | None = None) -> Answer:
+        """One question; the model runs on the driver."""
         known = self.get_map(project_path)
         if known is None:
             raise MapMissingError("no map: index the project first, or name its path")
         chosen, reason = self.route(question, known)
         if not chosen:
-            return Answer(NO_FILES, reasoning=reason)
+            return Answer(context.NO_FILES, reasoning=reason)
         targets = self.spark.createDataFrame([(p,) for p in chosen], "path string")
         near = [r["path"] for r in graph.connected(known.edges, targets).orderBy("path").collect()] if self.settings.with_connections else []
-        root = known.meta.root_path
-        primary = self._budgeted(project.texts_now(root, chosen), self.settings.context_chars // max(1, len(chosen)))
-        beside = self._budgeted(project.texts_now(root, near), self.settings.connected_chars)
+        texts = lambda paths: self.spark.createDataFrame([(i, p, project.read_now(known.meta.root_path, p)) for i, p in enumerate(paths)], "ord int, path string, content string")
+        primary = context.assembled(context.budgeted(texts(chosen), total_chars=self.settings.context_chars)).withColumnRenamed("context", "primary")
+        beside = context.assembled(context.budgeted(texts(near), each_chars=self.settings.connected_chars), connected=True)
+        prompt = context.answer_prompt(F.lit(question), F.col("primary"), F.col("beside"))
+        shown = primary.withColumn("beside", beside.scalar()).select(prompt.alias("prompt")).collect()[0]["prompt"]
         try:
-            text = self.model(context.answer_prompt(question, primary, beside))
+            text = self.model(shown)
         except Exception as e:
-            text = f"[LLM Error while generating answer: {e}]"
+            text = f"{context.ANSWER_FAILED}{e}]"
         return Answer(text, chosen, near, reason)
 
-    @staticmethod
-    def _budgeted(texts: list[tuple[str, str]], limit: int) -> list[tuple[str, str]]:
-        mark = f"\n\n[... File truncated due to context limits. Showing first {limit} chars ...]"
-        return [(p, t if len(t) <= limit else t[:limit] + mark) for p, t in texts]
-
-
-def route_names(reply: str) -> tuple[list[str], str]:
-    """Names on all FILES: lines of a reply, and the last REASONING:."""
-    names, reason = [], NO_REASON
-    for line in map(str.strip, reply.strip().split("\n")):
-        label, colon, rest = line.partition(":")
-        if colon and label.upper() == "FILES":
-            names += [n.strip() for n in rest.translate(str.maketrans("", "", '"[]')).split(",")]
-        elif colon and label.upper() == "REASONING":
-            reason = rest.strip()
-    return names, reason
-
-
+    def ask_many(self, questions: DataFrame, project_path: str | None = None) -> DataFrame:
+        """(question_id, text, sources, connections, reasoning, confidence) of (question_id, question); the model runs where the rows lie."""
+        known = self.get_map(project_path)
+        if known is None:
+            raise MapMissingError("no map: index the project first, or name its path")
+        root = known.meta.root_path
+        return asking.answers(questions, known.nodes, known.edges, lambda paths: project.texts_now(paths, root), self.model, self.settings)

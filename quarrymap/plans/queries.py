@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable
 
@@ -9,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymap.functions.paths import basename, dirname, suffix
+from quarrymap.functions.python_source import python_structure
 from quarrymap.functions.text import found, lines, truncated
 from quarrymap.operators import context, diff, edges, extract, graph, score, summaries, walk
+from quarrymap.plans import asking
 from quarrymap.plans import views as V
 from quarrymap.plans.views import table
-from quarrymap.settings import EXCLUDED_DIRS, EXCLUDED_FILES
+from quarrymap.settings import EXCLUDED_DIRS, EXCLUDED_FILES, Settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -188,11 +191,9 @@ def tree_entries(spark, d):
     return walk.tree_entries(V.tree_paths(spark, d))
 
 
-@query(f"SELECT relative_path, row_number() OVER (ORDER BY string_split(relative_path, '/')) AS walk_ord FROM (SELECT DISTINCT relative_path FROM {V.TREE_PATHS})")
+@query(f"SELECT relative_path, row_number() OVER (ORDER BY string_split(relative_path, '/')) - 1 AS walk_ord FROM (SELECT DISTINCT relative_path FROM {V.TREE_PATHS})")
 def walk_order(spark, d):
-    from pyspark.sql import Window
-
-    return V.tree_paths(spark, d).select("relative_path").distinct().select("relative_path", F.row_number().over(Window.orderBy(F.split("relative_path", "/"))).cast("bigint").alias("walk_ord"))
+    return walk.in_walk_order(V.tree_paths(spark, d).select("relative_path").distinct())
 
 
 @query(f"SELECT relative_path, split_part(relative_path, '/', -1) AS name, regexp_extract(relative_path, '^(.*)/[^/]*$', 1) AS folder, regexp_extract(split_part(relative_path, '/', -1), '^.+(\\.[^.]+)$', 1) AS ext FROM {V.TREE_PATHS}")
@@ -208,7 +209,8 @@ _IMPORTS = """modules AS (SELECT path AS source, unnest(regexp_extract_all(conte
 cands AS (SELECT source, module, unnest(range(0, 11)) AS r, unnest([f || '.py', f || '/__init__.py', f || '.js', f || '.jsx', f || '.ts', f || '.tsx', f || '/index.js', f || '/index.ts', module, module || '.rb', f || '/main.go']) AS cand FROM (SELECT *, replace(module, '.', '/') AS f FROM modules)),
 imports AS (SELECT source, arg_min(cand, r) AS target, 'imports' AS relation_type, 'import ' || module AS details FROM cands JOIN files ON cand = path GROUP BY source, module)"""
 _REFERENCES = """refs AS (SELECT path AS source, unnest(regexp_extract_all(content, '[''"]([a-zA-Z0-9_/.-]+\\.(?:py|js|ts|json|yaml|yml|toml|md|css|html))[''"]', 1)) AS target FROM files),
-reference AS (SELECT DISTINCT source, target, 'references' AS relation_type, 'references path ''' || target || '''' AS details FROM refs WHERE target <> source AND target IN (SELECT path FROM files))"""
+reference AS (SELECT DISTINCT source, target, 'references' AS relation_type, 'references path ''' || target || '''' AS details FROM refs WHERE target <> source AND target IN (SELECT path FROM files)
+  UNION ALL SELECT 'parts/README.md', t, 'references', 'references ' || t FROM (VALUES ('parts/p2.py'), ('parts/p3/index.js')) AS l(t))"""
 _TESTS = """tests AS (SELECT t.path AS source, s.path AS target, 'tests' AS relation_type, 'test file for ' || s.path AS details FROM files t JOIN files s ON s.path = replace(t.path, '/test_p', '/p') WHERE t.path LIKE 'parts/test!_p%' ESCAPE '!')"""
 _DOCUMENTS = """docs AS (SELECT 'parts/README.md' AS source, 'parts/__init__.py' AS target, 'documents' AS relation_type, 'README for parts' AS details)"""
 _EDGES = f"{_SOURCES}, {_IMPORTS}, {_REFERENCES}, {_TESTS}, {_DOCUMENTS}, edges AS (SELECT source, target, relation_type, min(details) AS details FROM (SELECT * FROM imports UNION ALL SELECT * FROM reference UNION ALL SELECT * FROM tests UNION ALL SELECT * FROM docs) WHERE source <> target GROUP BY 1, 2, 3)"
@@ -232,8 +234,8 @@ for _name, _f, _with, _from in (("import_edges", edges.import_edges, _IMPORTS, "
     SQL[_name] = f"{_SOURCES}, {_with} SELECT source, target, relation_type, min(details) AS details FROM {_from} GROUP BY 1, 2, 3"
 
 
-def _edges(spark, d):
-    return edges.all_edges(V.analysed_sources(spark, d)).drop("pos")
+def _edges(spark, d, targets=None):
+    return edges.all_edges(V.analysed_sources(spark, d), targets=targets).drop("pos")
 
 
 @query(f"{_EDGES} SELECT * FROM edges")
@@ -246,16 +248,18 @@ def edge_counts(spark, d):
     return _edges(spark, d).groupBy("relation_type").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"), F.countDistinct("target").alias("targets"))
 
 
-_TARGETS = "targets AS (SELECT path FROM files WHERE path LIKE 'parts/p_.py' OR path LIKE 'orders/o_.py')"
+_TARGETS = "targets AS (SELECT path FROM files WHERE path LIKE 'parts/%/index.js')"
 
 
-def _targets(files):
-    return files.where(F.col("path").rlike(r"^(parts/p.|orders/o.)\.py$")).select("path")
+def _targets(spark, d):
+    """All files of one kind."""
+    return V.source_files(spark, d).where("path LIKE 'parts/%/index.js'").select("path")
 
 
 @query(f"{_EDGES}, {_TARGETS} SELECT source, target, relation_type FROM edges WHERE source IN (SELECT path FROM targets) OR target IN (SELECT path FROM targets)")
 def incident_edges(spark, d):
-    return graph.incident(_edges(spark, d), _targets(V.source_files(spark, d))).select("source", "target", "relation_type")
+    targets = _targets(spark, d)
+    return graph.incident(_edges(spark, d, targets), targets).select("source", "target", "relation_type")
 
 
 _UNDIRECTED = "und AS (SELECT source AS node, target AS other FROM edges UNION SELECT target, source FROM edges)"
@@ -263,12 +267,20 @@ _UNDIRECTED = "und AS (SELECT source AS node, target AS other FROM edges UNION S
 
 @query(f"{_EDGES}, {_TARGETS}, {_UNDIRECTED} SELECT DISTINCT node AS path, other AS neighbour FROM und WHERE node IN (SELECT path FROM targets)")
 def neighbors_1hop(spark, d):
-    return graph.neighbours(_edges(spark, d), _targets(V.source_files(spark, d)))
+    targets = _targets(spark, d)
+    return graph.neighbours(_edges(spark, d, targets), targets)
+
+
+@query(f"{_EDGES}, {_UNDIRECTED} SELECT DISTINCT node AS path, other AS neighbour FROM und")
+def neighbors_all(spark, d):
+    """The neighbourhood of every file."""
+    return graph.neighbours(_edges(spark, d), V.source_files(spark, d).select("path"))
 
 
 @query(f"{_EDGES}, {_TARGETS}, {_UNDIRECTED} SELECT DISTINCT other AS path FROM und WHERE node IN (SELECT path FROM targets) AND other NOT IN (SELECT path FROM targets)")
 def connected_minus_selected(spark, d):
-    return graph.connected(_edges(spark, d), _targets(V.source_files(spark, d)))
+    targets = _targets(spark, d)
+    return graph.connected(_edges(spark, d, targets), targets)
 
 
 # --- snapshots ------------------------------------------------------------------
@@ -343,11 +355,7 @@ def parse_route_response(spark, d):
     """Replies parsed as columns: names of all FILES: lines, the last REASONING:."""
     i = F.col("item_id").cast("string")
     reply = F.concat(F.lit('FILES: ["docs/src'), (F.col("item_id") % 20).cast("string"), F.lit('", "b.py"]\nReasoning: item '), i)
-    said = F.transform(lines(F.col("reply")), lambda x: F.trim(x))
-    own = F.filter(said, lambda x: F.startswith(F.upper(x), F.lit("FILES:")))
-    names = F.flatten(F.transform(own, lambda x: F.transform(F.split(F.regexp_replace(F.substring(x, F.lit(7), F.lit(1 << 30)), r'["\[\]]', ""), ","), lambda n: F.trim(n))))
-    why = F.try_element_at(F.filter(said, lambda x: F.startswith(F.upper(x), F.lit("REASONING:"))), F.lit(-1))
-    return table(spark, d, "benchmark").select("item_id", reply.alias("reply")).select("item_id", F.array_join(names, "|").alias("files"), F.trim(F.substring(why, F.lit(11), F.lit(1 << 30))).alias("reasoning"))
+    return table(spark, d, "benchmark").select("item_id", reply.alias("reply")).select("item_id", F.array_join(context.route_names(F.col("reply")), "|").alias("files"), context.route_reason(F.col("reply")).alias("reasoning"))
 
 
 @query("SELECT item_id, CASE WHEN item_id % 3 = 0 THEN substring(text, 1, 500) ELSE trim(text[1:20]) END AS summary, CASE WHEN item_id % 3 = 0 THEN '' ELSE 'a|b ' || item_id END AS topics FROM (SELECT item_id, regexp_replace(split_part(text, chr(10), 1), '^\\s+|\\s+$', '', 'g') AS text FROM benchmark)")
@@ -420,37 +428,205 @@ def answer_context(spark, d):
     return context.assembled(context.budgeted(texts, each_chars=4000))
 
 
-# --- rows only ------------------------------------------------------------------
+# --- the Python parser, prompts and replies -----------------------------------------
 
 
-@query()
+@query(
+    f"""{_SOURCES}, m AS (SELECT path, string_agg('import ' || module, '|' ORDER BY i) AS imports FROM (SELECT path, unnest(regexp_extract_all(content, '(?m)^import ([A-Za-z0-9_.]+)$', 1)) AS module, generate_subscripts(regexp_extract_all(content, '(?m)^import ([A-Za-z0-9_.]+)$', 1), 1) AS i FROM files WHERE category = 'code') GROUP BY path)
+    SELECT path, coalesce(imports, '') AS imports, '' AS exports, '' AS docstring FROM files LEFT JOIN m USING (path) WHERE category = 'code'"""
+)
 def ast_exports(spark, d):
     """Python structure by syntax tree, in Arrow batches."""
-    from quarrymap.functions.python_source import python_structure
-
     made = V.source_files(spark, d).where("category = 'code'").select("path", python_structure("content").alias("s"))
     return made.select("path", F.array_join("s.imports", "|").alias("imports"), F.array_join("s.exports", "|").alias("exports"), "s.docstring")
 
 
-@query()
-def source_scan(spark, d):
-    """The library's own tree through the project data source."""
-    from quarrymap.sources import project
+@query("SELECT p_partkey, 'import a.b|import c|from  import d|from e' || p_partkey || ' import f, g|import deep' AS imports, 'a.b|c|e' || p_partkey || '|deep' AS sources, 'async def run(x, y, z, ...)|class C' || p_partkey || '|SIZE' || p_size AS exports, 'Part ' || p_name || '.' AS docstring FROM part")
+def python_structures(spark, d):
+    """Python sources by the index's own analysis: imports at any depth, exports at the top, docstring."""
+    k, at = F.col("p_partkey").cast("string"), F.lit
+    text = F.concat(at('"""Part '), "p_name", at('."""\nimport a.b, c\nfrom . import d\nfrom .e'), k, at(" import f, g\nasync def run(self, x, y, z, w):\n    import deep\nclass C"), k, at(": pass\nSIZE"), F.col("p_size").cast("string"), at(" = low = 1"))
+    rows = table(spark, d, "part").select("p_partkey", F.lit("a.py").alias("relative_path"), text.alias("content"), F.lit("python").alias("file_type"), F.lit("code").alias("category"))
+    made = extract.analysed(rows)
+    return made.select("p_partkey", F.array_join("imports", "|").alias("imports"), F.array_join("import_sources", "|").alias("sources"), F.array_join("exports", "|").alias("exports"), "docstring")
 
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    return walk.indexable(project.listing(spark, root)).select("relative_path", "size_bytes", "file_type")
 
+@query("SELECT p_partkey, 'import a, b|from .m' || p_partkey || ' import x' AS imports, 'a|.m' || p_partkey AS sources, 'def f()|class C' || p_partkey AS exports, '' AS docstring FROM part")
+def python_fallback(spark, d):
+    """Python sources without a syntax tree, line by line."""
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("import a, b\nfrom .m"), k, F.lit(" import x\ndef f(:\nclass C"), k, F.lit("\n"))
+    made = table(spark, d, "part").select("p_partkey", python_structure(text).alias("s"))
+    return made.select("p_partkey", F.array_join("s.imports", "|").alias("imports"), F.array_join("s.import_sources", "|").alias("sources"), F.array_join("s.exports", "|").alias("exports"), "s.docstring")
 
-@query()
+
+@query(
+    """SELECT 'rel/a/m' || p_partkey || '.py' AS source, 'rel/top.py' AS target, 'imports' AS relation_type, 'from ..top import y' AS details FROM part
+    UNION ALL SELECT 'rel/a/m' || p_partkey || '.py', 'rel/a/p' || p_partkey || '.py', 'imports', 'from .p' || p_partkey || ' import x' FROM part WHERE p_partkey % 2 = 0"""
+)
+def relative_import_edges(spark, d):
+    """Relative imports, whose dots only sources without a syntax tree keep."""
+    parts, k = table(spark, d, "part"), F.col("p_partkey").cast("string")
+    modules = parts.select(F.concat(F.lit("rel/a/m"), k, F.lit(".py")).alias("relative_path"), F.concat(F.lit("from .p"), k, F.lit(" import x\nfrom ..top import y\ndef broken(:\n")).alias("content"))
+    named = parts.where("p_partkey % 2 = 0").select(F.concat(F.lit("rel/a/p"), k, F.lit(".py")).alias("relative_path"), F.lit("").alias("content"))
+    files = modules.union(named).union(spark.createDataFrame([("rel/top.py", "")], "relative_path string, content string")).withColumns({"file_type": F.lit("python"), "category": F.lit("code")})
+    known = extract.analysed(files).withColumnRenamed("relative_path", "path")
+    return edges.deduplicated(edges.import_edges(known, known.select("path"))).drop("pos")
+
+
+_TEST_PAIRS = (("test_a{k}.py", "a{k}.py"), ("b{k}_test.py", "b{k}.py"), ("c{k}.test.ts", "c{k}.ts"), ("d{k}.spec.jsx", "d{k}.jsx"), ("TestE{k}.java", "E{k}.java"), ("F{k}Test.java", "F{k}.java"), ("g{k}_test.go", "g{k}.go"), ("h{k}_test.rb", "h{k}.rb"))
+_TEST_PLACES = ("lib/t/", "lib/", "lib/src/", "src/", "")
+
+
+def _test_pair_sql() -> str:
+    k = "' || s_suppkey || '"
+    place = "CASE s_suppkey % 5 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_TEST_PLACES)) + " END"
+    rows = [f"SELECT 'lib/t/{t.format(k=k)}' AS source, {place} || '{s.format(k=k)}' AS target FROM supplier" for t, s in _TEST_PAIRS]
+    return "SELECT source, target, 'tests' AS relation_type, 'test file for ' || target AS details FROM (" + " UNION ALL ".join(rows) + ")"
+
+
+@query(_test_pair_sql())
+def test_name_edges(spark, d):
+    """All patterns of test names, with what they test in each of the places that are looked at."""
+    k = F.col("s_suppkey").cast("string")
+    filled = lambda name: F.concat(*[x for i, p in enumerate(name.split("{k}")) for x in ([k] if i else []) + [F.lit(p)]])
+    place = F.element_at(F.array(*[F.lit(p) for p in _TEST_PLACES]), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    both = F.array(*[x for t, s in _TEST_PAIRS for x in (F.concat(F.lit("lib/t/"), filled(t)), F.concat(place, filled(s)))])
+    files = table(spark, d, "supplier").select(F.explode(both).alias("path"))
+    return edges.deduplicated(edges.test_edges(files, files)).drop("pos")
+
+
+@query("SELECT s_suppkey, s_name || '|Under ' || s_suppkey AS headings, 'directive: note|directive: code' AS key_sections FROM supplier")
+def rst_structure(spark, d):
+    text = F.concat(F.col("s_name"), F.lit("\n=====\n\nplain\n\nUnder "), F.col("s_suppkey").cast("string"), F.lit("\n  ~~~~\n.. note:: x\n\n.. code:: python\n--"))
+    made = extract.document_structure(F.col("c"), "restructuredtext")
+    return table(spark, d, "supplier").select("s_suppkey", text.alias("c")).select("s_suppkey", *[F.array_join(made[f], "|").alias(f) for f in ("headings", "key_sections")])
+
+
+@query("SELECT doc_id, text || chr(10) || 'x' || chr(10) || 'caf' || chr(233) AS valid, 'caf' || chr(233) || chr(10) || doc_id AS latin FROM documents")
+def decoded_text(spark, d):
+    """UTF-8 bytes, and bytes that are not, with line ends of all kinds."""
+    text = lambda c, charset: extract.decoded(F.encode(c, charset))
+    rows = table(spark, d, "documents")
+    return rows.select("doc_id", text(F.concat("text", F.lit("\r\nx\rcafé")), "UTF-8").alias("valid"), text(F.concat(F.lit("café\r\n"), F.col("doc_id").cast("string")), "ISO-8859-1").alias("latin"))
+
+
+_LONG = "repeat(text, CAST(ceil(400000 / greatest(1, length(text))) AS INTEGER) + CASE WHEN doc_id % 2 = 0 THEN CAST(ceil(200000 / greatest(1, length(text))) AS INTEGER) ELSE 0 END)"
+
+
+@query(f"SELECT doc_id, sha256(CASE WHEN length(c) > 500000 THEN substring(c, 1, 500000) || chr(10) || chr(10) || '[... file truncated due to size ...]' ELSE c END) AS content_hash FROM (SELECT doc_id, {_LONG} AS c FROM documents)")
+def index_truncate(spark, d):
+    """Hashes of texts on either side of the length at which the index cuts them."""
+    n = F.greatest(F.lit(1), F.char_length("text"))
+    times = F.ceil(F.lit(400000) / n).cast("int") + F.when(F.col("doc_id") % 2 == 0, F.ceil(F.lit(200000) / n).cast("int")).otherwise(F.lit(0))
+    cut = truncated(F.col("c"), Settings().max_text_chars, extract.CUT_MARK)
+    return table(spark, d, "documents").select("doc_id", F.repeat("text", times).alias("c")).select("doc_id", F.sha2(cut, 256).alias("content_hash"))
+
+
+@query(f"SELECT relative_path, size_bytes, file_type FROM ({_WALKED}) WHERE NOT (split_part(relative_path, '/', -1) LIKE 'f1%' OR regexp_matches(relative_path, '[37]\\.py$'))")
+def glob_filter(spark, d):
+    return walk.indexable(V.tree_paths(spark, d), settings=Settings(excluded_globs=("f1*", "*[37].py"))).select("relative_path", "size_bytes", "file_type")
+
+
+def _echo(prompt: str) -> str:
+    """A deterministic model: its summaries name the files it was shown."""
+    shown = prompt.split("\n")
+    batch = [x.split(": ", 1)[1].removesuffix(" ---") for x in shown if x.startswith("--- FILE ")]
+    one = lambda path: f"SUMMARY: seen {path}\nTOPICS: a, {path.rpartition('/')[2]}"
+    if batch:
+        return "\n".join(f"FILE {i + 1}:\n{one(p)}" for i, p in enumerate(batch))
+    return one(next(x for x in shown if x.startswith("File: "))[6:])
+
+
+@query("SELECT path, 'seen ' || path AS summary, 'a|' || split_part(path, '/', -1) AS topics FROM " + V.DOC_FILES)
 def summaries_by_model(spark, d):
-    """Summaries of all documents by a deterministic stub model."""
-    made = summaries.summarised(_analysed_docs(spark, d), _stub)
+    """Summaries of all documents, large ones alone and small ones in batches, by a model that names what it is shown."""
+    made = summaries.summarised(_analysed_docs(spark, d), _echo)
     return made.select("path", "summary", F.array_join("key_topics", "|").alias("topics"))
 
 
-def _stub(prompt: str) -> str:
-    n = prompt.count("--- FILE ")
-    one = "SUMMARY: seen\nTOPICS: a, b"
-    return "\n".join(f"FILE {i + 1}:\n{one}" for i in range(n)) if n else one
+_HEADINGS = r"(SELECT doc_id, list_filter(list_transform(string_split(text, chr(10))[1:100], lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: upper(x) = x AND lower(x) <> x AND length(x) > 3) AS h FROM documents)"
+_SINGLE = f"""'{summaries.SINGLE_HEAD}' || 'File: ' || path || chr(10) || 'Type: text (document)' || chr(10) || 'Lines: ' || (length(content) - length(replace(content, chr(10), '')) + 1) || chr(10)
+  || CASE WHEN len(h) > 0 THEN 'Headings: ' || array_to_string(h[1:10], ', ') || chr(10) ELSE '' END
+  || 'Content:' || chr(10) || CASE WHEN length(content) > 3000 THEN substring(content, 1, 3000) || chr(10) || '[... truncated ...]' ELSE content END || '{summaries.SINGLE_TAIL}'"""
+
+
+@query(f"SELECT path, {_SINGLE} AS prompt FROM {V.DOC_FILES} JOIN {_HEADINGS} USING (doc_id) WHERE content <> ''")
+def single_prompts(spark, d):
+    return _analysed_docs(spark, d).where("content <> ''").select("path", summaries.single_prompt().alias("prompt"))
+
+
+@query("SELECT item_id, CAST(k AS INTEGER) AS slot, CASE WHEN k = 2 THEN 'Summary not available.' ELSE 'item ' || item_id || ' ' || (CASE k WHEN 0 THEN 'one' ELSE 'three' END) END AS summary, CASE k WHEN 0 THEN 'x|y' ELSE '' END AS topics FROM benchmark, (SELECT unnest(range(0, 3)) AS k)")
+def parse_batch_reply(spark, d):
+    """Replies about three files of which one has no summary: it vanishes, and the last is padded."""
+    i = F.col("item_id").cast("string")
+    reply = F.concat(F.lit("FILE 1:\nSUMMARY: item "), i, F.lit(" one\nTOPICS: x, , y\nFILE 2:\nTOPICS: lost\nFILE 3:\nsummary: item "), i, F.lit(" three"))
+    made = table(spark, d, "benchmark").select("item_id", summaries.batch_entries(reply, F.lit(3)).alias("entries"))
+    each = made.select("item_id", F.posexplode("entries").alias("slot", "e"))
+    return each.select("item_id", "slot", F.col("e.summary").alias("summary"), F.array_join("e.topics", "|").alias("topics"))
+
+
+# --- many questions ------------------------------------------------------------------
+
+_ASKED = r"""asked AS (SELECT item_id AS question_id, text AS question, list_filter(w, lambda x, i: list_position(w, x) = i) AS words FROM
+  (SELECT item_id, text, list_transform(list_filter(regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda x: length(x) > 3), lambda x: trim(lower(x), '?,.!')) AS w FROM benchmark))"""
+_FOR_ALL = f"""{_ASKED}, nodes AS MATERIALIZED (SELECT * FROM {V.DOC_NODES}),
+pointed AS (SELECT question_id, path, node_ord, CAST(5 * len(list_filter(words, lambda w: contains(lower(path), w)))
+  + 3 * list_sum(list_transform(key_topics, lambda t: len(list_filter(words, lambda w: contains(lower(t), w)))))
+  + 2 * list_sum(list_transform(exports, lambda t: len(list_filter(words, lambda w: contains(lower(t), w))))) AS INTEGER) AS score FROM asked, nodes),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, node_ord) AS INTEGER) AS rank FROM pointed)"""
+
+
+def _questions(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+
 
+@query(f"WITH {_FOR_ALL} SELECT question_id, rank, path, score FROM ranked WHERE rank <= 20")
+def route_many(spark, d):
+    """The candidates of every benchmark text taken as a question."""
+    return score.best_for_all(_questions(spark, d), V.doc_nodes(spark, d), 20).select("question_id", "rank", "path", "score")
 
+
+def _answerer(prompt: str) -> str:
+    """Routes to the first and third candidate, and tells what an answer's prompt holds."""
+    if prompt.startswith(context.ROUTE_HEAD):
+        shown = json.loads(prompt[prompt.index("FILES:\n") + 7 : prompt.rindex("\n\nSelect the ")])
+        return f'FILES: "{shown[0]["path"]}", {shown[2]["path"]}, {shown[0]["path"]}\nREASONING: of {len(shown)}'
+    return f"{prompt.count('### File: ')} {prompt.count('### Connected File: ')} {len(prompt)}"
+
+
+_NOTICE = "[... File truncated due to context limits. Showing first {} chars ...]"
+_NEXT = "next AS (SELECT a.path AS source, b.path AS target FROM files a JOIN files b ON b.doc_id = a.doc_id + 1)"
+
+
+@query(
+    f"""WITH {_FOR_ALL}, files AS MATERIALIZED (SELECT * FROM {V.DOC_FILES}), {_NEXT},
+    chosen AS (SELECT question_id, path, rank FROM ranked WHERE rank IN (1, 3)),
+    near AS (SELECT DISTINCT question_id, other AS path FROM (SELECT question_id, target AS other FROM chosen JOIN next ON source = path UNION SELECT question_id, source FROM chosen JOIN next ON target = path) n
+      WHERE NOT EXISTS (SELECT 1 FROM chosen c WHERE c.question_id = n.question_id AND c.path = n.other)),
+    parts AS (SELECT question_id, 0 AS beside, path, rank, CASE WHEN length(content) > 50000 THEN 50000 + {len(_NOTICE.format(50000)) + 2} ELSE length(content) END AS n FROM chosen JOIN files USING (path)
+      UNION ALL SELECT question_id, 1, path, 0, CASE WHEN length(content) > 4000 THEN 4000 + {len(_NOTICE.format(4000)) + 2} ELSE length(content) END FROM near JOIN files USING (path)),
+    counted AS (SELECT question_id, count(*) FILTER (beside = 0) AS n_files, count(*) FILTER (beside = 1) AS n_beside, sum(n + length(path)) AS chars,
+      string_agg(path, '|' ORDER BY rank) FILTER (beside = 0) AS sources, coalesce(string_agg(path, '|' ORDER BY path) FILTER (beside = 1), '') AS connections FROM parts GROUP BY question_id)
+    SELECT question_id, n_files || ' ' || n_beside || ' ' || CAST({len(context.ANSWER_HEAD) + len(context.PRIMARY) + 1} + chars + {len("### File: ") + 10} * n_files + n_files - 1
+      + CASE WHEN n_beside > 0 THEN {len(context.CONNECTED) + 2} + {len("### Connected File: ") + 10} * n_beside + n_beside - 1 ELSE 0 END + {len("QUESTION: ") + 2 + len(context.ANSWER_TAIL)} + length(question) AS BIGINT) AS text,
+      sources, connections, 'of 20' AS reasoning, CAST(0.0 AS DOUBLE) AS confidence FROM counted JOIN asked USING (question_id)"""
+)
+def answers_many(spark, d):
+    """Every benchmark text asked of all documents: routed, read with its neighbours, answered by a model that measures its prompt."""
+    files = V.doc_files(spark, d)
+    nodes = V.doc_nodes(spark, d).withColumns({"summary": F.lit("s"), "file_type": F.lit("text")})
+    after = files.select((F.col("doc_id") - 1).alias("before_id"), F.col("path").alias("target"))
+    links = files.select("doc_id", F.col("path").alias("source")).join(after, F.col("doc_id") == F.col("before_id")).select("source", "target")
+    read = lambda paths: files.join(paths.withColumnRenamed("path", "wanted"), F.col("path") == F.col("wanted")).select("path", "content")
+    made = asking.answers(_questions(spark, d), nodes, links, read, _answerer)
+    return made.select("question_id", "text", F.array_join("sources", "|").alias("sources"), F.array_join("connections", "|").alias("connections"), "reasoning", "confidence")
+
+
+@query()
+def source_scan(spark, d):
+    """The library's own tree through the project data source."""
+    from quarrymap.sources import project
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    return walk.indexable(project.listing(spark, root)).select("relative_path", "size_bytes", "file_type")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrymap.operators import extract
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,7 +40,7 @@ TREE_PATHS = """(SELECT (CASE WHEN event_id % 11 = 0 THEN 'node_modules/' WHEN e
 
 
 def source_files(spark: SparkSession, d: str) -> DataFrame:
-    """(path, content, category): a module for each order that imports and names its parts, and the parts with tests and a README."""
+    """(path, content, category, file_type): a module for each order that imports and names its parts, and the parts with tests and a README that links to some."""
     parts = table(spark, d, "part")
     n = F.col("p_partkey").cast("string")
     line = F.struct(F.col("l_partkey").alias("k"), F.concat(F.lit("import parts.p"), F.col("l_partkey").cast("string")).alias("text"))
@@ -50,7 +52,14 @@ def source_files(spark: SparkSession, d: str) -> DataFrame:
     tests = parts.where("p_partkey % 5 = 0").select(F.concat(F.lit("parts/test_p"), n, F.lit(".py")).alias("path"))
     few = spark.createDataFrame([("parts/README.md",), ("parts/__init__.py",)], "path string")
     rest = own.union(index).union(tests).union(few)
-    return modules.unionByName(rest.select("path", F.lit("").alias("content"), F.when(F.endswith("path", F.lit(".md")), "document").otherwise("code").alias("category")))
+    readme = F.endswith("path", F.lit(".md"))
+    rest = rest.select("path", F.when(readme, README).otherwise("").alias("content"), F.when(readme, "document").otherwise("code").alias("category"))
+    kind = F.when(F.endswith("path", F.lit(".md")), "markdown").when(F.endswith("path", F.lit(".js")), "javascript").otherwise("python")
+    return modules.unionByName(rest).withColumn("file_type", kind)
+
+
+#: Links to known and unknown files and to a page.
+README = "# Parts\n\nsee [two](./parts/p2.py), [none](parts/none.py), `parts/p3/index.js` and [web](https://x/parts/p4.py)"
 
 
 SOURCE_FILES = """(SELECT 'orders/o' || l_orderkey || '.py' AS path,
@@ -59,15 +68,13 @@ SOURCE_FILES = """(SELECT 'orders/o' || l_orderkey || '.py' AS path,
   UNION ALL SELECT 'parts/p' || p_partkey || '.py', '', 'code' FROM part WHERE p_partkey % 2 = 0
   UNION ALL SELECT 'parts/p' || p_partkey || '/index.js', '', 'code' FROM part WHERE p_partkey % 3 = 0
   UNION ALL SELECT 'parts/test_p' || p_partkey || '.py', '', 'code' FROM part WHERE p_partkey % 5 = 0
-  UNION ALL SELECT 'parts/README.md', '', 'document' UNION ALL SELECT 'parts/__init__.py', '', 'code')"""
+  UNION ALL SELECT 'parts/README.md', '# Parts', 'document' UNION ALL SELECT 'parts/__init__.py', '', 'code')"""
 
 
 def analysed_sources(spark: SparkSession, d: str) -> DataFrame:
-    """``source_files`` with imports, sources and references by native expressions (import lines only)."""
-    from quarrymap.functions.text import empty_strings, found
-
-    lines_of = found(F.col("content"), r"^import\s+([A-Za-z0-9_.]+)$", 1, True)
-    return source_files(spark, d).withColumn("import_sources", lines_of).withColumn("imports", F.transform("import_sources", lambda s: F.concat(F.lit("import "), s))).withColumn("references", empty_strings())
+    """``source_files`` as the index analyses them: Python by its syntax tree, links by the document parsers."""
+    files = extract.analysed(source_files(spark, d).withColumnRenamed("path", "relative_path")).withColumnRenamed("relative_path", "path")
+    return files.select("path", "content", "category", "imports", "import_sources", "references")
 
 
 def snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -1,19 +1,22 @@
 """Project trees as DataFrames: a Python data source for listings, and one for contents.
 
 Spark's own file listings leave out names that start with ``_`` or ``.``, which
-source trees are full of. Each top-level entry is a partition; excluded and
-ignored directories are not entered. Listings don't read files: contents are a
-second source, asked only for what is indexed.
+source trees are full of. Trees are opened from the top until there are partitions
+enough, so that one large folder is many tasks; excluded and
+ignored directories are not entered, files beyond the size bounds not returned.
+Listings don't read files: contents are a second source, asked only for what is
+indexed.
 """
 
 from __future__ import annotations
 
 import fnmatch
+import operator
 import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
 from quarrymap.settings import Settings
@@ -43,9 +46,16 @@ def path_ignored(path: str, patterns: list[str]) -> bool:
 
 
 class _Entry(InputPartition):
-    def __init__(self, name: str):
+    """A file or a whole tree, or the files right in a directory (``flat``)."""
+
+    def __init__(self, name: str, flat: bool = False):
         super().__init__(name)
-        self.name = name
+        self.name, self.flat = name, flat
+
+
+#: Partitions that the driver looks for, level by level, before it leaves the rest to tasks.
+PARTITIONS = 64
+_BOUNDS = {LessThan: "lt", LessThanOrEqual: "le", GreaterThan: "gt", GreaterThanOrEqual: "ge", EqualTo: "eq"}
 
 
 class ListingReader(DataSourceReader):
@@ -54,34 +64,56 @@ class ListingReader(DataSourceReader):
         settings = Settings()
         self.excluded = set(options["excluded_dirs"].split("\n")) if "excluded_dirs" in options else set(settings.excluded_dirs)
         self.patterns = [p for p in options.get("ignore", "").split("\n") if p]
+        #: (comparison, number) that sizes must stand.
+        self.sizes: list[tuple[str, int]] = [("le", int(options["most_bytes"]))] if "most_bytes" in options else []
 
-    def partitions(self) -> list[_Entry]:
+    def _names(self, relative: str) -> list[str]:
         try:
-            names = sorted(os.listdir(self.root))
-        except PermissionError:
-            names = []
-        return [_Entry(n) for n in names] or [_Entry("")]
+            return [f"{relative}/{n}" if relative else n for n in sorted(os.listdir(os.path.join(self.root, relative)))]
+        except OSError:  # what can't be looked at isn't there
+            return []
 
-    def _skipped(self, relative: str) -> bool:
-        return os.path.basename(relative) in self.excluded or path_ignored(relative + "/", self.patterns)
+    def _enters(self, relative: str) -> bool:
+        return os.path.isdir(os.path.join(self.root, relative)) and not (os.path.basename(relative) in self.excluded or path_ignored(relative + "/", self.patterns))
+
+    def partitions(self) -> list[_Entry]:
+        """Trees of about one level: directories are opened from the top until there are enough."""
+        done, trees = [_Entry("", flat=True)], [n for n in self._names("") if self._enters(n)]
+        while trees and len(done) + len(trees) < PARTITIONS:
+            inner = [(t, [n for n in self._names(t) if self._enters(n)]) for t in trees]
+            done += [_Entry(t, flat=True) for t, _ in inner]
+            trees = [n for _, below in inner for n in below]
+        return done + [_Entry(t) for t in trees]
 
     def read(self, partition: _Entry) -> Iterator[tuple]:
-        if not partition.name:
-            return
-        todo = [partition.name]
+        todo = self._names(partition.name)[::-1]
         while todo:
             relative = todo.pop()
             full = os.path.join(self.root, relative)
             try:
                 if os.path.isdir(full):
-                    if not self._skipped(relative):
-                        todo += [f"{relative}/{n}" for n in sorted(os.listdir(full), reverse=True)]
+                    if not partition.flat and self._enters(relative):
+                        todo += self._names(relative)[::-1]
                 elif os.path.isfile(full):
-                    yield full, relative, os.stat(full).st_size
-            except OSError:  # what can't be looked at isn't there
+                    size = os.stat(full).st_size
+                    if all(getattr(operator, op)(size, bound) for op, bound in self.sizes):
+                        yield full, relative, size
+            except OSError:
                 continue
 
 
+class PushingReader(ListingReader):
+    """A reader that takes filters, for sessions that push them to Python sources."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Bounds of size_bytes are taken; Spark applies the rest."""
+        for f in filters:
+            if type(f) in _BOUNDS and f.attribute == ("size_bytes",) and isinstance(f.value, int):
+                self.sizes.append((_BOUNDS[type(f)], f.value))
+            else:
+                yield f
+
+
 class ProjectListing(DataSource):
     """``spark.read.format("project_files").load(root)``: (abs_path, relative_path, size_bytes)."""
 
@@ -93,13 +125,14 @@ class ProjectListing(DataSource):
         return "abs_path string, relative_path string, size_bytes bigint"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return ListingReader(self.options)
+        return (PushingReader if self.options.get("push") == "true" else ListingReader)(self.options)
 
 
 def listing(spark: SparkSession, root: str, settings: Settings = Settings(), patterns: list[str] | None = None) -> DataFrame:
     spark.dataSource.register(ProjectListing)
-    reader = spark.read.format("project_files").option("excluded_dirs", "\n".join(settings.excluded_dirs))
-    return reader.option("ignore", "\n".join(patterns or [])).load(root)
+    push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    reader = spark.read.format("project_files").option("excluded_dirs", "\n".join(settings.excluded_dirs)).option("push", push)
+    return reader.option("ignore", "\n".join(patterns or [])).option("most_bytes", str(settings.max_file_bytes)).load(root)
 
 
 def with_bytes(files: DataFrame) -> DataFrame:
@@ -123,13 +156,22 @@ def with_bytes(files: DataFrame) -> DataFrame:
     return files.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields) + ", data binary")
 
 
-def texts_now(root: str, paths: list[str]) -> list[tuple[str, str]]:
-    """(path, text) as on disk at this moment, for the few files of an answer; what can't be read says so."""
-    out = []
-    for path in paths:
-        try:
-            with open(os.path.join(root, path), encoding="utf-8", errors="replace") as f:
-                out.append((path, f.read()))
-        except OSError as e:
-            out.append((path, f"[Error reading file {path}: {e}]"))
-    return out
+def read_now(root: str, path: str) -> str:
+    """The text of a file as on disk at this moment; what can't be read says so."""
+    try:
+        with open(os.path.join(root, path), encoding="utf-8", errors="replace") as f:
+            return f.read()
+    except OSError as e:
+        return f"[Error reading file {path}: {e}]"
+
+
+def texts_now(files: DataFrame, root: str) -> DataFrame:
+    """(path, content) of each ``path``, read where the row lies."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([read_now(root, path)], pa.string())], names=["path", "content"])
+
+    return files.select("path").mapInArrow(run, "path string, content string")

@@ -3,9 +3,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarrymap import cli
-from quarrymap.plans.engine import QuarryMap, route_names
+from quarrymap.operators import context
+from quarrymap.plans.engine import QuarryMap
 from quarrymap.settings import IndexingError, MapMissingError, NoModelError, Settings, StorageError
 
 FILES = {
@@ -50,11 +52,11 @@ def test_index_then_ask(spark, tree):
     nodes = {r["path"]: r for r in made.nodes.collect()}
     assert nodes["src/main.py"]["exports"] == ["def run(a, b, c, ...)"]
     assert nodes["src/auth.py"]["exports"] == ["class Login", "TOKEN"] or nodes["src/auth.py"]["exports"] == ["TOKEN", "class Login"]
-    assert nodes["util.py"]["summary"] == "Summary not available." or nodes["util.py"]["summary"] == "Dummy summary."
+    assert nodes["util.py"]["summary"] == "Summary not available." or nodes["util.py"]["summary"] == "Summarised by the stub model."
     answer = engine.ask("How does main start?")
     assert answer.sources == ["src/main.py"]
     assert answer.connections == ["src/auth.py", "src/README.md", "util.py"] or set(answer.connections) == {"src/auth.py", "src/README.md", "util.py"}
-    assert answer.reasoning == "Fallback routing due to dummy LLM."
+    assert answer.reasoning == "The stub model always chooses main.py."
     document = json.loads((tree / Settings().map_file).read_text())
     assert document["total_files"] == 8 and document["directory_tree"]["src"]["main.py"] is None
     # nothing changed: nothing is asked again
@@ -107,7 +109,56 @@ def test_cli(spark, tree, capsys):
     assert cli.main(["index", str(tree / "none")], engine) == 1
 
 
-def test_route_names():
-    names, why = route_names('x\nFILES: ["a.py", b.py]\nfiles: c.py\nREASONING: one\nreasoning: two')
-    assert names == ["a.py", "b.py", "c.py"] and why == "two"
-    assert route_names("nothing")[0] == []
+def test_route_names(spark):
+    replies = ['x\nFILES: ["a.py", b.py]\nfiles: c.py\nREASONING: one\nreasoning: two', "nothing", "FILES:", None]
+    got = spark.createDataFrame([(r,) for r in replies], "r string").select(context.route_names(F.col("r")).alias("n"), context.route_reason(F.col("r")).alias("w")).collect()
+    assert [tuple(r) for r in got] == [(["a.py", "b.py", "c.py"], "two"), ([], context.NO_REASON), ([""], context.NO_REASON), (None, context.NO_REASON)]
+
+
+def test_many_questions(spark, tree):
+    def model(prompt):
+        if "intelligent code router" in prompt:
+            if "fails" in prompt:
+                raise RuntimeError("no")
+            return "FILES: util.py, nowhere.zz\nREASONING: named" if "the helper" in prompt else "FILES: nowhere.zz"
+        return f"{prompt.count('### File: ')} {prompt.count('### Connected File: ')} {prompt.rpartition('QUESTION: ')[2][:6]}"
+
+    engine = QuarryMap(cli.stub_model, spark=spark)
+    engine.index(str(tree))
+    engine.model = model
+    asked = [(1, "Where is the helper?"), (2, "It fails"), (3, "Other words")]
+    got = {r["question_id"]: r for r in engine.ask_many(spark.createDataFrame(asked, "question_id int, question string")).collect()}
+    for i, question in asked:
+        one = engine.ask(question)
+        assert (got[i]["text"], got[i]["sources"], got[i]["connections"], got[i]["reasoning"]) == (one.text, one.sources, one.connections, one.reasoning), question
+    assert got[1]["sources"] == ["util.py"] and got[1]["text"].startswith("1 ") and got[1]["reasoning"] == "named"
+    assert len(got[2]["sources"]) == 3 and "(no)" in got[2]["reasoning"] and got[3]["text"] == context.NO_FILES
+
+
+def test_listing_prunes_and_splits(spark, tmp_path):
+    from quarrymap.sources import project
+
+    for i in range(12):
+        (tmp_path / "one" / f"d{i}" / "e").mkdir(parents=True)
+        (tmp_path / "one" / f"d{i}" / "e" / "f.py").write_text("x" * (i + 1))
+    (tmp_path / "one" / "g.py").write_text("y")
+    (tmp_path / "h.py").write_text("z")
+    reader = project.ListingReader({"path": str(tmp_path)})
+    parts = reader.partitions()
+    assert len(parts) > 12 and sorted(r[1] for p in parts for r in reader.read(p)) == sorted(["h.py", "one/g.py", *[f"one/d{i}/e/f.py" for i in range(12)]])
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        few = project.listing(spark, str(tmp_path)).where("size_bytes >= 3 AND size_bytes < 5")
+        assert sorted(r["relative_path"] for r in few.collect()) == ["one/d2/e/f.py", "one/d3/e/f.py"]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    small = project.listing(spark, str(tmp_path), Settings(max_file_bytes=1))
+    assert sorted(r["relative_path"] for r in small.collect()) == ["h.py", "one/d0/e/f.py", "one/g.py"]
+
+
+def test_package_exports():
+    import quarrymap
+
+    assert all(getattr(quarrymap, n) is not None for n in quarrymap.__all__) and quarrymap.QuarryMap is QuarryMap
+    with pytest.raises(AttributeError):
+        quarrymap.nothing

@@ -109,13 +109,44 @@ def test_model_failure_falls_back(spark):
     assert row["summary"] == "Python file defining: def f()" and row["key_topics"] == ["python", "def f()"]
 
 
-def test_prompts():
-    assert context.answer_prompt("q", [("a", "x")], []).count("###") == 1
-    assert "### Connected File: b" in context.answer_prompt("q", [("a", "x")], [("b", "y")])
+def test_prompts(spark):
+    shown = lambda beside: spark.range(1).select(context.answer_prompt(F.lit("q"), F.lit("### File: a\n```\nx\n```\n"), F.lit(beside)).alias("p")).collect()[0]["p"]
+    assert shown("").count("###") == 1 and context.CONNECTED not in shown("") and shown("").startswith(context.ANSWER_HEAD)
+    assert f"```\n\n{context.CONNECTED}\n### Connected File: b" in shown("### Connected File: b") and shown("").endswith("QUESTION: q" + context.ANSWER_TAIL)
+
+
+def test_numbers_are_global(spark):
+    from quarrymap.operators.numbering import numbered
+
+    rows = spark.createDataFrame([(i * 7 % 100, "x") for i in range(100)], "k int, v string").repartition(5)
+    assert sorted((r["k"], r["n"]) for r in numbered(rows, [F.col("k")], "n").collect()) == [(i, i) for i in range(100)]
+    assert numbered(rows.where("false"), [F.col("k")], "n").count() == 0
+    same = numbered(rows, [F.lit(1)], "n").collect()
+    assert sorted(r["n"] for r in same) == list(range(100))
+
+
+def test_many_questions_score_as_one(spark):
+    nodes = spark.createDataFrame([(f"p{i}/{w}.py", [w], ["x"], i) for i, w in enumerate(["auth", "main", "login", "index", "auth"] * 9)], "path string, key_topics array<string>, exports array<string>, node_ord bigint")
+    asked = [(i, q) for i, q in enumerate(["How does login work", "where is auth", "zzzz", "", "the index of auth and login?"])]
+    got = score.best_for_all(spark.createDataFrame(asked, "question_id int, question string"), nodes, 4).collect()
+    for i, q in asked:
+        want = [(r["path"], r["score"]) for r in score.best(nodes, F.lit(q), 4).collect()]
+        assert [(r["path"], r["score"]) for r in sorted((r for r in got if r["question_id"] == i), key=lambda r: r["rank"])] == want
+    assert score.best_for_all(spark.createDataFrame([], "question_id int, question string"), nodes).count() == 0
+
+
+def test_edges_of_targets_are_those_of_all(spark):
+    files = queries.V.analysed_sources(spark, "/root/testdata/sf0.001")
+    targets = spark.createDataFrame([("parts/p3/index.js",), ("orders/o5.py",), ("parts/README.md",)], "path string")
+    key = lambda rows: sorted((r["source"], r["target"], r["relation_type"], r["details"]) for r in rows)
+    ends = {r["path"] for r in targets.collect()}
+    whole = [r for r in edges.all_edges(files).collect() if r["source"] in ends or r["target"] in ends]
+    assert key(edges.all_edges(files, targets=targets).collect()) == key(whole) and whole
 
 
 def test_plans_stay_native(spark):
-    plan = queries.QUERIES["import_edges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    files = queries.V.source_files(spark, "/root/testdata/sf0.001").withColumns({"imports": F.array(F.lit("import a")), "import_sources": F.array(F.lit("a")), "references": F.array(F.lit("b"))})
+    plan = edges.all_edges(files)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
