@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from quarrymap.plans import queries
+from quarrymap.plans import project_queries, queries  # noqa: F401  adds its queries
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
