@@ -374,6 +374,8 @@ def near_duplicates(documents: DataFrame, radius: int = 3, shingle: int = 3, agr
     least = members.join(reps, F.col("u") == F.col("fp")).groupBy("root").agg(F.min("rep").alias("least"))
     named = members.join(least, "root").select(F.col("u").alias("m_fp"), "least")
     each = reps.join(named, F.col("fp") == F.col("m_fp"), "left").select(F.col("fp").alias("r_fp"), F.when(F.col("m_fp").isNotNull(), F.col("least")).otherwise(F.col("rep")).alias("component_id"))
+    each = stage(each, "names")  # a table of its own, so that Spark can split the join of a hot fingerprint
+    forget(reps, found)
     return fps.join(each, F.col("fp") == F.col("r_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
