@@ -114,13 +114,13 @@ WITH records AS (
 ), filed AS (
   SELECT *, CAST(ordinal // 1024 AS BIGINT) AS file FROM ordered
 ), placed AS (
-  SELECT page_id, file, CAST(sum(length) OVER (PARTITION BY file ORDER BY ordinal) - length AS BIGINT) AS offset, length, sha256, has_text, fate FROM filed
+  SELECT page_id, file, CAST(sum(length) OVER (PARTITION BY file ORDER BY ordinal) - length AS BIGINT) AS "offset", length, sha256, has_text, fate FROM filed
 ), judged AS (
-  SELECT page_id, file, offset, length, sha256, CASE WHEN fate < '03' AND has_text THEN 'rotten' WHEN fate = '03' THEN 'missing' WHEN fate = '04' THEN 'moved' ELSE 'intact' END AS status FROM placed
-  UNION ALL SELECT page_id, file, offset + 1073741824, length, sha256, 'moved_to' FROM placed WHERE fate = '04'
-  UNION ALL SELECT page_id, file, offset + 2147483648, length, sha256, 'extra' FROM placed WHERE fate = '05'
+  SELECT page_id, file, "offset", length, sha256, CASE WHEN fate < '03' AND has_text THEN 'rotten' WHEN fate = '03' THEN 'missing' WHEN fate = '04' THEN 'moved' ELSE 'intact' END AS status FROM placed
+  UNION ALL SELECT page_id, file, "offset" + 1073741824, length, sha256, 'moved_to' FROM placed WHERE fate = '04'
+  UNION ALL SELECT page_id, file, "offset" + 2147483648, length, sha256, 'extra' FROM placed WHERE fate = '05'
 )
-SELECT page_id, file, offset, length, sha256, status = 'intact' AS intact, status FROM judged
+SELECT page_id, file, "offset", length, sha256, status = 'intact' AS intact, status FROM judged
 """
 
 _CHAT = r"""
