@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymap.operators import extract
+from quarrymap.operators.numbering import made_once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,9 +73,9 @@ SOURCE_FILES = """(SELECT 'orders/o' || l_orderkey || '.py' AS path,
 
 
 def analysed_sources(spark: SparkSession, d: str) -> DataFrame:
-    """``source_files`` as the index analyses them: Python by its syntax tree, links by the document parsers."""
+    """``source_files`` as the index analyses them, once: Python by its syntax tree, links by the document parsers."""
     files = extract.analysed(source_files(spark, d).withColumnRenamed("path", "relative_path")).withColumnRenamed("relative_path", "path")
-    return files.select("path", "content", "category", "imports", "import_sources", "references")
+    return made_once(files.select("path", "content", "category", "imports", "import_sources", "references"))
 
 
 def snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
