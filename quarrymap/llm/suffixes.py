@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from .common import byte_texts, forget, loose, named, nullable, release, sliced, stage
+from .common import ROWS, byte_texts, forget, loose, named, nullable, release, sliced, stage
 
 LENGTH, GRAM = 50, 20
 #: Bytes that are hashed at a time, and bytes of a batch of documents on average.
@@ -212,7 +212,7 @@ def _anchor_records(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator
             [pa.array(list(out), pa.int32()), pa.array([x[0] for x in out.values()], pa.binary()), pa.array([x[1] for x in out.values()], pa.binary())], names=["bucket", "fresh", "known"]
         )
 
-    for batch in sliced(batches):
+    for batch in sliced(batches, 4 * ROWS):  # so that chunks are filled
         ids, texts = np.asarray(batch.column("doc_id")), byte_texts(batch.column("text"))
         for a, b in _chunks(texts):
             own = []
@@ -567,10 +567,7 @@ def remove_repeats(documents: DataFrame, as_text: bool = False) -> DataFrame:
     def ask(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
         ids, data, copy = opened(rows, told)
         anchors = np.unique(np.asarray(told.column("anchor").drop_null()).view(np.uint64))
-        out = _questions(key[0].as_py(), _ask(ids, [b"" if c else t for t, c in zip(data, copy)], anchors, known_hot.value), buckets)
-        del data
-        release()
-        return out
+        return _questions(key[0].as_py(), _ask(ids, [b"" if c else t for t, c in zip(data, copy)], anchors, known_hot.value), buckets)
 
     asked = rows.drop("rest").groupBy("batch").cogroup(of_anchors.union(of_copies).groupBy("batch")).applyInArrow(ask, _ASKED)
     answered = stage(asked.repartition(tasks, "bucket").mapInArrow(_answers, "batch int, answer binary"), "answers")
