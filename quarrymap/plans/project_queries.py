@@ -8,13 +8,14 @@ import io
 import os
 import re
 import shutil
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymap.functions import binary_documents
 from quarrymap.operators import context
+from quarrymap.operators.numbering import shared_folder
 from quarrymap.plans import asking
 from quarrymap.plans.engine import QuarryMap
 from quarrymap.plans.queries import _echo, query
@@ -36,10 +37,12 @@ _QUESTION = "Where is nation three visited?"
 
 
 def _project(spark: SparkSession, d: str) -> str:
-    """The root of a new tree, for sessions whose tasks see the driver's disk."""
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise RuntimeError("the tree is on this machine's disk: run this query in a local session")
-    root = os.path.realpath(tempfile.mkdtemp(prefix="quarrymap-project-"))
+    """The root of a new tree, in the folder that the driver and all executors share."""
+    shared = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark)).toUri()
+    if shared.getScheme() not in (None, "file"):
+        raise RuntimeError(f"project trees are opened as files: set spark.checkpoint.dir to a folder that is mounted on the driver and all executors, not {shared}")
+    root = os.path.join(os.path.realpath(shared.getPath()), f"quarrymap-project-{uuid.uuid4().hex}")
+    os.makedirs(root)  # executors may run as another user
     atexit.register(shutil.rmtree, root, True)
     nations = [r.asDict() for r in table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("r")).collect()]
     regions = [r.asDict() for r in table(spark, d, "region").select(F.col("r_regionkey").alias("r")).collect()]

@@ -86,6 +86,8 @@ class ListingReader(DataSourceReader):
         return done + [_Entry(t) for t in trees]
 
     def read(self, partition: _Entry) -> Iterator[tuple]:
+        if not os.path.isdir(self.root):  # else a tree that only the driver sees would be an empty one
+            raise FileNotFoundError(f"not a directory where this task runs: {self.root}")
         todo = self._names(partition.name)[::-1]
         while todo:
             relative = todo.pop()
