@@ -12,7 +12,7 @@ from test_queries import DIR, duck, rows  # noqa: F401  a fixture
 from quarrymap.plans import project_queries, queries
 from quarrymap.sources import project
 
-NAMES = ["project_analysis", "project_cli", "project_answer", "project_edges", "project_files", "project_edges_stored", "project_meta", "project_nodes", "project_nodes_stored", "project_routes"]
+NAMES = ["project_analysis", "project_cli", "project_answer", "project_edges", "project_files", "project_edges_stored", "project_meta", "project_nodes", "project_nodes_stored", "project_routes", "project_update"]
 _RUN = f"""
 import json, sys
 from pyspark.sql import SparkSession
