@@ -75,28 +75,18 @@ class QuarryMap:
         meta = old.meta if old else MapMeta(root, created_at=now)
         meta.updated_at = now
 
-        files = self.files(root)
-        found = self.analysed(files).persist()
-        try:
-            meta.total_files = found.count()
-            tree = walk.tree_entries(files).select("parent", "name", "is_dir").collect()
-            meta.directory_tree = store.nested_tree([tuple(r) for r in tree])
-            before = old.nodes if old else self.spark.createDataFrame([], NODES)
-            fresh = diff.to_process(before, found)
-            made = made_once(self._nodes(fresh, now))  # the model isn't asked twice
-            kept = before.join(found.select(F.col("path").alias("here")), F.col("path") == F.col("here"), "left_semi")
-            # a changed file keeps its place, a new one goes to the end
-            place = before.select(F.col("path").alias("old_path"), F.col("node_ord").alias("old_ord"))
-            placed = made.join(place, F.col("path") == F.col("old_path"), "left")
-            rows = kept.join(made.select(F.col("path").alias("made_path")), F.col("path") == F.col("made_path"), "left_anti").withColumn("order", F.struct(F.lit(0).alias("a"), F.col("node_ord").alias("b")))
-            rows = rows.unionByName(placed.withColumn("order", F.struct(F.when(F.col("old_ord").isNull(), F.lit(1)).otherwise(F.lit(0)).alias("a"), F.coalesce("old_ord", "node_ord").alias("b"))).drop("old_path", "old_ord"))
-            nodes = made_once(numbered(rows.drop("node_ord"), [F.col("order")], "node_ord").select(*_NODE_COLUMNS))
-            changed, gone = made.count(), diff.deleted(before, found).count()
-            links = made_once(self.edges_of(found) if changed or gone or old is None else old.edges)
-            if not meta.project_summary or changed / max(1, meta.total_files) > 0.1:
-                meta.project_summary = self._project_summary(nodes)
-        finally:
-            found.unpersist()
+        # written, not cached: each later plan would hold all of the analysis once more for every use of it
+        found = made_once(self.analysed(self.files(root)))
+        meta.total_files = found.count()
+        tree = walk.tree_entries(found.select(F.col("path").alias("relative_path"))).select("parent", "name", "is_dir").collect()
+        meta.directory_tree = store.nested_tree([tuple(r) for r in tree])
+        fresh = diff.to_process(old.nodes, found) if old else found
+        made = made_once(self._nodes(fresh, now))  # the model isn't asked twice
+        nodes = self._merged(old.nodes, found, made) if old else made
+        changed, gone = made.count(), diff.deleted(old.nodes, found).count() if old else 0
+        links = made_once(self.edges_of(found) if changed or gone or old is None else old.edges)
+        if not meta.project_summary or changed / max(1, meta.total_files) > 0.1:
+            meta.project_summary = self._project_summary(nodes)
         self.map = ProjectMap(meta, nodes, links)
         store.save_json(self.map, root, self.settings.map_file)
         return self.map
@@ -105,6 +95,16 @@ class QuarryMap:
         told = made_once(summaries.summarised(fresh, self.model, self.settings)).withColumn("last_indexed", F.lit(now))
         return numbered(told, [F.col("insert_ord")], "node_ord").select(*_NODE_COLUMNS)
 
+    @staticmethod
+    def _merged(before: DataFrame, found: DataFrame, made: DataFrame) -> DataFrame:
+        """The nodes of the files there are: a changed file keeps its place, a new one goes to the end."""
+        kept = before.join(found.select(F.col("path").alias("here")), F.col("path") == F.col("here"), "left_semi")
+        place = before.select(F.col("path").alias("old_path"), F.col("node_ord").alias("old_ord"))
+        placed = made.join(place, F.col("path") == F.col("old_path"), "left")
+        rows = kept.join(made.select(F.col("path").alias("made_path")), F.col("path") == F.col("made_path"), "left_anti").withColumn("order", F.struct(F.lit(0).alias("a"), F.col("node_ord").alias("b")))
+        rows = rows.unionByName(placed.withColumn("order", F.struct(F.when(F.col("old_ord").isNull(), F.lit(1)).otherwise(F.lit(0)).alias("a"), F.coalesce("old_ord", "node_ord").alias("b"))).drop("old_path", "old_ord"))
+        return made_once(numbered(rows.drop("node_ord"), [F.col("order")], "node_ord").select(*_NODE_COLUMNS))
+
     @staticmethod
     def edges_of(found: DataFrame) -> DataFrame:
         """All edges in the order of their files and kinds."""

@@ -1,4 +1,4 @@
-"""Project trees as DataFrames: a Python data source for listings, and one for contents.
+"""Project trees as DataFrames: listings, also as a Python data source, and contents.
 
 Spark's own file listings leave out names that start with ``_`` or ``.``, which
 source trees are full of. Trees are opened from the top until there are partitions
@@ -11,6 +11,7 @@ indexed.
 from __future__ import annotations
 
 import fnmatch
+import itertools
 import operator
 import os
 from collections.abc import Iterator
@@ -55,6 +56,8 @@ class _Entry(InputPartition):
 
 #: Partitions that the driver looks for, level by level, before it leaves the rest to tasks.
 PARTITIONS = 64
+#: Files that a task returns at a time.
+LISTED = 10_000
 _BOUNDS = {LessThan: "lt", LessThanOrEqual: "le", GreaterThan: "gt", GreaterThanOrEqual: "ge", EqualTo: "eq"}
 
 
@@ -131,10 +134,29 @@ class ProjectListing(DataSource):
 
 
 def listing(spark: SparkSession, root: str, settings: Settings = Settings(), patterns: list[str] | None = None) -> DataFrame:
-    spark.dataSource.register(ProjectListing)
-    push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
-    reader = spark.read.format("project_files").option("excluded_dirs", "\n".join(settings.excluded_dirs)).option("push", push)
-    return reader.option("ignore", "\n".join(patterns or [])).option("most_bytes", str(settings.max_file_bytes)).load(root)
+    """(abs_path, relative_path, size_bytes) of a tree, a task for each of the reader's partitions.
+
+    Spark plans a Python source in six Python processes beside the driver, about
+    200 MB. So it is asked only in sessions that push filters, which need it.
+    """
+    options = {"path": root, "excluded_dirs": "\n".join(settings.excluded_dirs), "ignore": "\n".join(patterns or []), "most_bytes": str(settings.max_file_bytes)}
+    if spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") == "true":
+        spark.dataSource.register(ProjectListing)
+        return spark.read.format("project_files").options(**options, push="true").load()
+    import pyarrow as pa
+
+    reader = ListingReader(options)
+    entries = reader.partitions()
+    types = pa.schema([("abs_path", pa.string()), ("relative_path", pa.string()), ("size_bytes", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                found = reader.read(entries[i])
+                while rows := list(itertools.islice(found, LISTED)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types.types)], schema=types)
+
+    return spark.range(0, len(entries), 1, len(entries)).mapInArrow(run, ProjectListing({}).schema())
 
 
 def with_bytes(files: DataFrame) -> DataFrame:

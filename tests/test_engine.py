@@ -156,6 +156,38 @@ def test_listing_prunes_and_splits(spark, tmp_path):
     assert sorted(r["relative_path"] for r in small.collect()) == ["h.py", "one/d0/e/f.py", "one/g.py"]
 
 
+def test_listing_needs_no_python_beside_the_driver(spark, tree):
+    from quarrymap.sources import project
+
+    own = project.listing(spark, str(tree), patterns=["logs/"])
+    assert "Scan" not in own._jdf.queryExecution().toString()  # a Python source is planned by processes of the driver
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        source = project.listing(spark, str(tree), patterns=["logs/"])
+        assert "Scan" in source._jdf.queryExecution().toString() and source.schema == own.schema
+        assert sorted(own.collect()) == sorted(source.collect()) != []
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_listing_of_more_files_than_a_batch(spark, tmp_path, monkeypatch):
+    from quarrymap.sources import project
+
+    for i in range(7):
+        (tmp_path / f"f{i}.py").write_text("x")
+    monkeypatch.setattr(project, "LISTED", 3)
+    assert sorted(r["relative_path"] for r in project.listing(spark, str(tmp_path)).collect()) == [f"f{i}.py" for i in range(7)]
+
+
+def test_index_plans_hold_the_analysis_once(spark, tree, monkeypatch):
+    held = []
+    edges_of = QuarryMap.edges_of
+    monkeypatch.setattr(QuarryMap, "edges_of", staticmethod(lambda found: held.append(found) or edges_of(found)))
+    QuarryMap(cli.stub_model, spark=spark).index(str(tree))
+    plan = held[0]._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" in plan and "InMemory" not in plan
+
+
 def test_package_exports():
     import quarrymap
 
